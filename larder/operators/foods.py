@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import fixed, words
-from larder.operators.nutrition import portion_list
+from larder.operators.nutrition import portion_measure, portion_weights
 from larder.operators.shaping import first_per, top_per
 
 
@@ -119,16 +119,25 @@ def nutrient_record(amounts: DataFrame, key: str = "fdc_id") -> DataFrame:
 
 
 def food_records(amounts: DataFrame, portions: DataFrame) -> DataFrame:
-    """`(fdc_id, nutrition)` with the ten nutrients, a serving of 100 g, and the portions."""
+    """`(fdc_id, nutrition)` with the ten nutrients, a serving of 100 g, and the portions.
+
+    Of the portions a record keeps the first that fits each class of unit, at most six: a line
+    never takes another one. `nutrition.portion_list` has them all.
+    """
     wide = nutrient_record(amounts)
-    lists = portion_list(portions).filter("part = 0").select("fdc_id", "entries")
-    empty = F.array().cast("array<struct<measure:string,gramWeight:double>>")
-    return wide.join(lists, "fdc_id", "left").select(
+    firsts = portion_weights(portions.withColumn("measure", portion_measure()))
+    kept = F.array(
+        *[
+            F.struct(F.lit(hints[-1]).alias("measure"), F.col(f"portion_{c}").alias("gramWeight"))
+            for c, (_, hints) in fixed.PORTION_CLASSES.items()
+        ]
+    )
+    return wide.join(firsts, "fdc_id", "left").select(
         "fdc_id",
         F.struct(
             *fixed.NUTRIENTS,
             F.lit(fixed.DEFAULT_SERVING_G).alias("serving_size_g"),
-            F.coalesce("entries", empty).alias("portions"),
+            F.filter(kept, lambda p: p["gramWeight"].isNotNull()).alias("portions"),
         ).alias("nutrition"),
     )
 

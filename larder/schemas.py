@@ -25,8 +25,22 @@ NUTRITION = T.StructType(
 )
 
 
-def _fields(ddl: str) -> list[T.StructField]:
-    return T.StructType.fromDDL(ddl).fields
+_KINDS = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _fields(columns: str) -> list[T.StructField]:
+    """`name kind, name kind not null, ...` to fields, without needing a session."""
+    out = []
+    for column in columns.split(", "):
+        name, kind, *required = column.split(" ")
+        out.append(T.StructField(name, _KINDS[kind], not required))
+    return out
 
 
 RECIPES = T.StructType(
