@@ -113,16 +113,6 @@ def portion_weights(portions: DataFrame, key: str = "fdc_id") -> DataFrame:
     return portions.groupBy(key).agg(*firsts)
 
 
-def with_portion(weight: Column, unit: Column, qty: Column) -> Column:
-    """Portion weight x quantity where the food has a fitting portion, else the estimate."""
-    u = unit_key(unit)
-    fit = None
-    for name, (units, _) in fixed.PORTION_CLASSES.items():
-        hit, value = u.isin(units), F.col(f"portion_{name}")
-        fit = F.when(hit, value) if fit is None else fit.when(hit, value)
-    return F.coalesce(fit * qty, weight)
-
-
 # --- lookup ------------------------------------------------------------------------
 
 
@@ -213,36 +203,49 @@ def breakdown_lists(stats: DataFrame, key: str) -> DataFrame:
     return list_parts(rows, [key], "pos", entry)
 
 
-def analyse(
-    recipes: DataFrame,
+def analyse_lines(
+    rows: DataFrame,
     cache: DataFrame,
     sources: list[tuple[str, DataFrame]],
-    key: str = "id",
-    ingredients: str = "recipe_ingredients",
     strict_parity: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(line statistics, resolved terms). `totals` and `breakdown` take the statistics.
+    """(line statistics, resolved terms) of ingredient lines with a column `line`.
 
     Every distinct term is looked up once, whatever number of lines names it; the lines then take
     the result by a join that spreads lines without a term and splits hot terms.
     """
-    read = parsed(lines(recipes, key, ingredients)).withColumn("term_key", text.cache_key("term"))
+    read = parsed(rows.filter(F.col("line").isNotNull()))
+    read = read.withColumn("term_key", text.cache_key("term"))
     resolved = resolve_terms(read, cache, sources)
     joined = attach(read, resolved.select("term_key", "nutrition", "source"), ["term_key"])
-    estimate = grams(F.col("unit"), F.col("qty"), F.col("name"), strict_parity)
-    weighed = joined.withColumn("weight_grams", estimate)
+    weight = grams(F.col("unit"), F.col("qty"), F.col("name"), strict_parity)
     if "portions" in resolved.schema["nutrition"].dataType.names:
-        u = unit_key(F.col("unit"))
-
-        def fits(p: Column) -> Column:
-            low = F.lower(p["measure"])
-            out = F.lit(False)
-            for units, hints in fixed.PORTION_CLASSES.values():
-                out = out | (u.isin(units) & text.contains_any(low, hints))
-            return out
-
-        first = F.try_element_at(F.filter(F.col("nutrition.portions"), fits), F.lit(1))
-        weighed = weighed.withColumn(
-            "weight_grams", F.coalesce(first["gramWeight"] * F.col("qty"), F.col("weight_grams"))
-        )
-    return item_stats(weighed.filter(F.col("line").isNotNull())), resolved
+        weight = F.coalesce(portion_grams() * F.col("qty"), weight)
+    return item_stats(joined.withColumn("weight_grams", weight)), resolved
+
+
+def portion_grams() -> Column:
+    """Grams of the first portion of the food that fits the unit of the line, else null."""
+    u = unit_key(F.col("unit"))
+
+    def fits(p: Column) -> Column:
+        low = F.lower(p["measure"])
+        out = F.lit(False)
+        for units, hints in fixed.PORTION_CLASSES.values():
+            out = out | (u.isin(units) & text.contains_any(low, hints))
+        return out
+
+    return F.try_element_at(F.filter(F.col("nutrition.portions"), fits), F.lit(1))["gramWeight"]
+
+
+def analyse(
+    recipes: DataFrame,
+    cache: DataFrame,
+    sources: list[tuple[str, DataFrame]],
+    key: str = "id",
+    ingredients: str = "recipe_ingredients",
+    strict_parity: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """As `analyse_lines`, from recipes with a list of lines. `totals` and `breakdown` take the
+    statistics."""
+    return analyse_lines(lines(recipes, key, ingredients), cache, sources, strict_parity)

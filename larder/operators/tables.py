@@ -124,3 +124,29 @@ def insertable(
     for c, value in defaults.items():
         good = good.withColumn(c, F.coalesce(F.col(c), value) if c in df.columns else value)
     return good, df.filter(~ok)
+
+
+def fold_changes(
+    changes: DataFrame,
+    key: str,
+    order: Column,
+    *,
+    overwrite: list[str] | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The table that upserting all changes in order would give.
+
+    Per column the last value that is not null, the last value at all (`overwrite`) or the first
+    one (`keep`). Only one row per key and partition is shuffled, however often a key changed.
+    """
+    overwrite, keep = overwrite or [], keep or []
+    ranked = changes.filter(F.col(key).isNotNull()).withColumn("_at", order)
+
+    def folded(c: str) -> Column:
+        if c in keep:
+            return F.min_by(c, "_at").alias(c)
+        if c in overwrite:
+            return F.max_by(c, "_at").alias(c)
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c)
+
+    return ranked.groupBy(key).agg(*[folded(c) for c in changes.columns if c != key])
