@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larder.functions import fixed, variants
 from larder.functions.scoring import quality_score
 from larder.functions.text import contains_any, normalise_url, truthy, url_host
-from larder.operators.shaping import first_per
+from larder.operators.shaping import first_per, once
 
 _JSONLD = (
     r'(?is)<script\b[^>]*\btype\s*=\s*["\']?application/ld\+json["\']?[^>]*>(.*?)</script\s*>'
@@ -198,35 +198,57 @@ def dom_fields(
 # --- JSON-LD -----------------------------------------------------------------------
 
 
+def _marked(html: Column) -> Column:
+    """Texts of the well-formed JSON-LD scripts of a page."""
+    found = F.when(html.contains("ld+json"), F.regexp_extract_all(html, F.lit(_JSONLD), 1))
+    return F.coalesce(
+        F.filter(found, lambda j: F.try_parse_json(j).isNotNull()),
+        F.array().cast("array<string>"),
+    )
+
+
+def _members(data: Column) -> Column:
+    """Members of a list, of `@graph`, or the object itself."""
+    return F.coalesce(variants.items(data), variants.items(data, '$["@graph"]'), F.array(data))
+
+
+def _is_recipe(item: Column) -> Column:
+    kinds = F.coalesce(
+        F.try_variant_get(item, '$["@type"]', "array<string>"),
+        F.array(variants.text(item, '$["@type"]')),
+    )
+    return F.coalesce(F.array_contains(kinds, "Recipe"), F.lit(False))
+
+
+def _told(item: Column) -> Column:
+    """The item has instructions of its own."""
+    given = variants.node(item, "$.recipeInstructions")
+    return F.coalesce(
+        (variants.text(given) != "") & (F.coalesce(F.size(variants.items(given)), F.lit(1)) != 0),
+        F.lit(False),
+    )
+
+
 def jsonld_blocks(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
     """(key, block no, parsed JSON) of every well-formed JSON-LD script."""
-    found = F.regexp_extract_all(html, F.lit(_JSONLD), 1)
     return (
         pages.filter(F.col(html).contains("ld+json"))
-        .select(key, F.posexplode(found).alias("block", "json"))
+        .select(key, F.posexplode(_marked(F.col(html))).alias("block", "json"))
         .select(key, "block", F.try_parse_json("json").alias("data"))
-        .filter(F.col("data").isNotNull())
     )
 
 
 def recipe_items(blocks: DataFrame, key: str = "url") -> DataFrame:
-    """(key, block, place, item): members of a list, of `@graph`, or the object itself, that are
-    of type Recipe."""
-    data = F.col("data")
-    several = F.coalesce(
-        variants.items(data), variants.items(data, '$["@graph"]'), F.array(data)
-    )
-    kinds = F.coalesce(
-        F.try_variant_get("item", '$["@type"]', "array<string>"),
-        F.array(variants.text(F.col("item"), '$["@type"]')),
-    )
-    return blocks.select(key, "block", F.posexplode(several).alias("place", "item")).filter(
-        F.array_contains(kinds, "Recipe")
-    )
+    """(key, block, place, item) of the items of type Recipe."""
+    return blocks.select(
+        key, "block", F.posexplode(_members(F.col("data"))).alias("place", "item")
+    ).filter(_is_recipe(F.col("item")))
 
 
-def item_rows(items: DataFrame, key: str = "url") -> DataFrame:
-    """Recipe columns of JSON-LD items."""
+def item_rows(
+    items: DataFrame, key: str = "url", also: list[str] | None = None
+) -> DataFrame:
+    """Recipe columns of JSON-LD items; `also` names further columns to keep."""
     item = F.col("item")
 
     def text(path: str) -> Column:
@@ -234,7 +256,7 @@ def item_rows(items: DataFrame, key: str = "url") -> DataFrame:
 
     ingredients = variants.items(item, "$.recipeIngredient")
     return items.select(
-        key, "block", "place",
+        key, "block", "place", *(also or []),
         text("$.name").alias("name"),
         variants.image_url(variants.node(item, "$.image")).alias("image"),
         text("$.description").alias("description"),
@@ -258,53 +280,84 @@ _RECIPE = [
 ]
 
 
+def _with_dom(pages: DataFrame) -> DataFrame:
+    """Pages `(page_url, blocks, html)` with the fields read by CSS class where `html` is given."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        empty = {"name": None, "description": None, "ingredients": [], "instructions": [],
+                 "image": None}
+        for batch in batches:
+            found = pd.DataFrame(
+                [empty if h is None else _fields_of(h, DOM_SELECTORS) for h in batch["html"]],
+                columns=list(empty),
+            )
+            yield pd.concat([batch[["page_url", "blocks"]].reset_index(drop=True), found], axis=1)
+
+    return pages.select("page_url", "blocks", "html").mapInPandas(
+        read,
+        "page_url string, blocks string, name string, description string, "
+        "ingredients array<string>, instructions array<string>, image string",
+    )
+
+
 def extract(pages: DataFrame, now: Column) -> DataFrame:
     """Recipe rows of `pages(url, status, html)` with their score, before the gate.
 
     JSON-LD first. Pages without any fall back to their CSS classes, and items without
-    instructions take those of the page; only these pages are parsed in Python.
+    instructions take those of the page. The pages are scanned once: only JSON-LD and the HTML of
+    pages that need their classes read go to Python, everything else stays in the JVM.
     """
-    readable = pages.filter(~is_blocked(F.col("html"), F.col("status"))).withColumn(
-        "page_url", F.col("url")
+    readable = pages.filter(~is_blocked(F.col("html"), F.col("status")))
+    marked = once(
+        readable.select(F.col("url").alias("page_url"), "html"), "marked", _marked(F.col("html"))
     )
-    blocks = jsonld_blocks(readable, "page_url")
-    rows = item_rows(recipe_items(blocks, "page_url"), "page_url")
-
-    bare = F.col("recipe_instructions").isNull() | (F.size("recipe_instructions") == 0)
-    lacking = rows.filter(bare).select("page_url").distinct()
-    marked = F.regexp_extract_all("html", F.lit(_JSONLD), 1)
-    well_formed = F.exists(marked, lambda j: F.try_parse_json(j).isNotNull())
-    without = readable.filter(~F.col("html").contains("ld+json") | ~well_formed)
-    filling = dom_fields(readable.join(lacking, "page_url", "left_semi"), "page_url").select(
-        "page_url", F.col("instructions").alias("_dom")
+    lacking = F.exists(
+        "marked",
+        lambda j: F.exists(
+            _members(F.try_parse_json(j)), lambda i: _is_recipe(i) & ~_told(i)
+        ),
     )
-    empty_as_null = F.when(F.size("_dom") > 0, F.col("_dom"))
-    rows = rows.join(filling, "page_url", "left").withColumn(
-        "recipe_instructions",
-        F.when(bare, F.coalesce(empty_as_null, "recipe_instructions"))
-        .otherwise(F.col("recipe_instructions")),
+    needed = (F.size("marked") == 0) | lacking
+    read = _with_dom(
+        marked.select(
+            "page_url",
+            F.concat(F.lit("["), F.array_join("marked", ","), F.lit("]")).alias("blocks"),
+            F.when(needed, F.col("html")).alias("html"),
+        )
     )
-
-    dom = dom_fields(without, "page_url").filter(
-        F.col("name").isNotNull() & ((F.size("ingredients") > 0) | (F.size("instructions") > 0))
+    # a page described by its classes becomes an item like any other
+    described = F.col("name").isNotNull() & (
+        (F.size("ingredients") > 0) | (F.size("instructions") > 0)
     )
-    missing = F.lit(None).cast("string")
-    by_class = dom.select(
-        "page_url", F.lit(0).alias("block"), F.lit(0).alias("place"), "name", "image",
-        "description", missing.alias("cook_time"), missing.alias("prep_time"),
-        missing.alias("total_time"), missing.alias("recipe_yield"),
-        F.col("ingredients").alias("recipe_ingredients"),
-        F.col("instructions").alias("recipe_instructions"),
-        missing.alias("recipe_category"), missing.alias("recipe_cuisine"),
-        missing.alias("nutrition"),
+    own = F.to_variant_object(
+        F.struct(
+            F.lit("Recipe").alias("@type"), "name", "description", "image",
+            F.col("ingredients").alias("recipeIngredient"),
+            F.col("instructions").alias("recipeInstructions"),
+        )
+    )
+    blocks = variants.items(F.try_parse_json("blocks"))
+    given = F.when(F.col("blocks") != "[]", blocks).when(described, F.array(own))
+    items = (
+        read.select("page_url", "instructions", F.posexplode(given).alias("block", "data"))
+        .select(
+            "page_url", F.col("instructions").alias("dom"), "block",
+            F.posexplode(_members(F.col("data"))).alias("place", "item"),
+        )
+        .filter(_is_recipe(F.col("item")))
+    )
+    rows = item_rows(items.withColumn("told", _told(F.col("item"))), "page_url", ["dom", "told"])
+    rows = rows.withColumn(
+        "recipe_instructions",
+        F.when(~F.col("told") & (F.size("dom") > 0), F.col("dom"))
+        .otherwise(F.col("recipe_instructions")),
     )
-    every = rows.select("page_url", "block", "place", *_RECIPE).unionByName(by_class)
     score = quality_score(
         *[F.col(c) for c in ("name", "description", "image", "recipe_ingredients",
                              "recipe_instructions", "cook_time", "prep_time")],
         truthy("nutrition"),
     )
-    return every.select(
+    return rows.select(
         normalise_url("page_url").alias("url"), "block", "place", *_RECIPE,
         now.alias("updated_at"), F.lit("pending").alias("qa_status"),
         score.alias("quality_score"),

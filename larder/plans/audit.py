@@ -29,9 +29,10 @@ def quality_score(spark, d):
     return rows.select("doc_id", score.alias("score"))
 
 
-def _recipes(spark, d):
+def _recipes(spark, d, docs=None):
     """Documents as recipes, their labels deciding what is missing."""
-    docs = table(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    if docs is None:
+        docs = table(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
     seen = table(spark, d, "labels", ["doc_id", "quality", "toxic"])
     rows = shaping.attach(docs, seen, ["doc_id"])
     plain = F.concat(F.lit("https://img.example/"), "source", F.lit(".jpg"))
@@ -101,9 +102,9 @@ def _jobs(spark, d):
     return done.unionByName(before).unionByName(pending)
 
 
-def audited(spark, d):
+def audited(spark, d, docs=None):
     return a.audit(
-        _recipes(spark, d), _checks(spark, d), _nutrition(spark, d), _jobs(spark, d),
+        _recipes(spark, d, docs), _checks(spark, d), _nutrition(spark, d), _jobs(spark, d),
         F.lit(_NOW).cast("timestamp_ntz"),
     )
 
