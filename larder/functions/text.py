@@ -101,6 +101,7 @@ def parse_quantity(c: Column | str) -> Column:
 
     A fraction over zero adds nothing. A fraction that is no number voids the whole text.
     """
+    c = _col(c)
     leading = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
     def number(part: Column) -> Column:
@@ -117,8 +118,11 @@ def parse_quantity(c: Column | str) -> Column:
             .otherwise(top / bottom)
         )
 
-    total = F.aggregate(F.split(F.trim(_col(c)), " "), F.lit(0.0), lambda acc, p: acc + value(p))
-    return F.when(total.isNull() | F.isnan(total) | (total == 0), F.lit(1.0)).otherwise(total)
+    # most quantities are one number; only the others are taken apart
+    total = F.when(c.rlike(r"^\d+(?:\.\d+)?$"), c.try_cast("double")).otherwise(
+        F.aggregate(F.split(F.trim(c), " "), F.lit(0.0), lambda acc, p: acc + value(p))
+    )
+    return F.coalesce(F.nullif(F.nanvl(total, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
 # --- lists ----------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import fixed, text
-from larder.operators.shaping import attach, list_parts
+from larder.operators.shaping import attach, first_per, list_parts, once
 
 
 # --- lines -------------------------------------------------------------------------
@@ -18,14 +18,24 @@ def lines(recipes: DataFrame, key: str, ingredients: str) -> DataFrame:
 
 
 def parsed(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add quantity, unit, name and search term of a line; an unparsable line is one piece."""
-    c = F.col(line)
-    match = c.rlike(fixed.LINE_PATTERN)
-    part = [F.regexp_extract(c, fixed.LINE_PATTERN, i) for i in (1, 2, 3)]
-    out = df.withColumn("qty", F.when(match, text.parse_quantity(part[0])).otherwise(1.0))
-    out = out.withColumn("unit", F.when(match, part[1]).otherwise(""))
-    out = out.withColumn("name", F.when(match & (part[2] != ""), part[2]).otherwise(c))
-    return out.withColumn("term", text.clean_term("name"))
+    """Add quantity, unit, name and search term of a line; an unparsable line is one piece.
+
+    The pattern is applied once per line, and its three groups are cut apart at a mark.
+    """
+    mark = "\u0001"
+    marked = F.regexp_replace(
+        F.translate(line, mark, " "), fixed.LINE_PATTERN, f"$1{mark}$2{mark}$3"
+    )
+    out = once(df, "_parts", F.split(marked, mark))
+    match = F.size("_parts") == 3
+    qty, unit, name = (F.get("_parts", F.lit(i)) for i in range(3))
+    return (
+        out.withColumn("qty", F.when(match, text.parse_quantity(qty)).otherwise(1.0))
+        .withColumn("unit", F.when(match, unit).otherwise(""))
+        .withColumn("name", F.when(match & (name != ""), name).otherwise(F.col(line)))
+        .withColumn("term", text.clean_term("name"))
+        .drop("_parts")
+    )
 
 
 # --- weight ------------------------------------------------------------------------
@@ -74,16 +84,22 @@ def piece_weight(name: Column) -> Column:
     return out.otherwise(fixed.DEFAULT_PIECE_WEIGHT)
 
 
+def _factor(u: Column, table: list[tuple[list[str], float]]) -> Column:
+    out = None
+    for units, factor in table:
+        hit = u.isin(units)
+        out = F.when(hit, factor) if out is None else out.when(hit, factor)
+    return out
+
+
 def grams(unit: Column, qty: Column, name: Column, strict_parity: bool = True) -> Column:
     """Weight of a quantity in a unit: direct, by volume and density, or by the piece."""
     u = unit_key(unit, strict_parity)
-    out = None
-    for units, factor in fixed.WEIGHT_UNITS + fixed.COUNT_UNITS:
-        hit, value = u.isin(units), qty * factor
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    for units, factor in fixed.VOLUME_UNITS:
-        out = out.when(u.isin(units), qty * factor * density(name, strict_parity))
-    return out.otherwise(qty * piece_weight(name))
+    direct = _factor(u, fixed.WEIGHT_UNITS + fixed.COUNT_UNITS)
+    volume = _factor(u, fixed.VOLUME_UNITS)
+    return F.coalesce(
+        qty * direct, qty * volume * density(name, strict_parity), qty * piece_weight(name)
+    )
 
 
 def portion_list(portions: DataFrame) -> DataFrame:
@@ -116,25 +132,32 @@ def portion_weights(portions: DataFrame, key: str = "fdc_id") -> DataFrame:
 # --- lookup ------------------------------------------------------------------------
 
 
-def resolve_terms(
-    keys: DataFrame, cache: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "term_key"
+def known_foods(
+    cache: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "term_key"
 ) -> DataFrame:
-    """Nutrition of every distinct term: the cache first, then each source in turn.
+    """Every known term once with its nutrition: from the cache, else from the first source.
 
     All tables hold a column `key` once each, and `nutrition`; the cache also its `source`.
-    Adds `cached`, so that new finds can be written to the cache.
+    `cached` tells where a term came from, so that new finds can be written to the cache.
     """
+    every = cache.select(key, "nutrition", "source", F.lit(0).alias("place"))
+    for i, (name, table) in enumerate(sources, start=1):
+        every = every.unionByName(
+            table.select(key, "nutrition", F.lit(name).alias("source"), F.lit(i).alias("place"))
+        )
+    some = every.filter(F.col("nutrition").isNotNull() & F.col(key).isNotNull())
+    return first_per(some, [key], [F.asc("place")]).withColumn(
+        "cached", F.col("place") == 0
+    ).drop("place")
+
+
+def resolve_terms(
+    keys: DataFrame, cache: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "term_key"
+) -> DataFrame:
+    """Nutrition of every distinct term, null where no table knows it."""
     wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
-    out = wanted.join(
-        cache.select(key, F.col("nutrition").alias("_c"), F.col("source").alias("_cs")), key, "left"
-    )
-    found, source = F.col("_c"), F.when(F.col("_c").isNotNull(), F.col("_cs"))
-    for i, (name, table) in enumerate(sources):
-        out = out.join(table.select(key, F.col("nutrition").alias(f"_s{i}")), key, "left")
-        found = F.coalesce(found, F.col(f"_s{i}"))
-        source = F.coalesce(source, F.when(F.col(f"_s{i}").isNotNull(), F.lit(name)))
-    return out.select(
-        key, found.alias("nutrition"), source.alias("source"), F.col("_c").isNotNull().alias("cached")
+    return wanted.join(known_foods(cache, sources, key), key, "left").withColumn(
+        "cached", F.coalesce("cached", F.lit(False))
     )
 
 
@@ -208,20 +231,26 @@ def analyse_lines(
     cache: DataFrame,
     sources: list[tuple[str, DataFrame]],
     strict_parity: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """(line statistics, resolved terms) of ingredient lines with a column `line`.
+) -> DataFrame:
+    """Statistics per ingredient line of rows with a column `line`.
 
-    Every distinct term is looked up once, whatever number of lines names it; the lines then take
-    the result by a join that spreads lines without a term and splits hot terms.
+    The tables are merged by priority first, so the lines are read, parsed and joined once; lines
+    without a term are spread and hot terms split in that join.
     """
-    read = parsed(rows.filter(F.col("line").isNotNull()))
-    read = read.withColumn("term_key", text.cache_key("term"))
-    resolved = resolve_terms(read, cache, sources)
-    joined = attach(read, resolved.select("term_key", "nutrition", "source"), ["term_key"])
+    foods = known_foods(cache, sources)
+    joined = attach(
+        line_terms(rows), foods.select("term_key", "nutrition", "source"), ["term_key"]
+    )
     weight = grams(F.col("unit"), F.col("qty"), F.col("name"), strict_parity)
-    if "portions" in resolved.schema["nutrition"].dataType.names:
+    if "portions" in foods.schema["nutrition"].dataType.names:
         weight = F.coalesce(portion_grams() * F.col("qty"), weight)
-    return item_stats(joined.withColumn("weight_grams", weight)), resolved
+    return item_stats(joined.withColumn("weight_grams", weight))
+
+
+def line_terms(rows: DataFrame) -> DataFrame:
+    """Parsed lines with the key of their search term."""
+    read = parsed(rows.filter(F.col("line").isNotNull()))
+    return read.withColumn("term_key", text.cache_key("term"))
 
 
 def portion_grams() -> Column:
@@ -245,7 +274,7 @@ def analyse(
     key: str = "id",
     ingredients: str = "recipe_ingredients",
     strict_parity: bool = True,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """As `analyse_lines`, from recipes with a list of lines. `totals` and `breakdown` take the
     statistics."""
     return analyse_lines(lines(recipes, key, ingredients), cache, sources, strict_parity)

@@ -15,6 +15,13 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that comes in fewer splits than there are cores, for work that
+    costs much more than moving the row. A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every group.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import fixed, scoring
 from larder.operators import audit as a
 from larder.operators import catalog, shaping
+from larder.operators.shaping import spread
 from larder.session import table
 
 _NOW = "2024-06-01 00:00:00"
@@ -32,7 +33,9 @@ def quality_score(spark, d):
 def _recipes(spark, d, docs=None):
     """Documents as recipes, their labels deciding what is missing."""
     if docs is None:
-        docs = table(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+        docs = spread(
+            table(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+        )
     seen = table(spark, d, "labels", ["doc_id", "quality", "toxic"])
     rows = shaping.attach(docs, seen, ["doc_id"])
     plain = F.concat(F.lit("https://img.example/"), "source", F.lit(".jpg"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import fixed, text
 from larder.operators import foods as fd
 from larder.operators import nutrition as n
+from larder.operators.shaping import spread
 from larder.plans import sql
 from larder.session import table
 
@@ -67,7 +68,7 @@ def _lines(spark, d):
     )
     name = F.concat("p_name", F.lit(" "), _food(F.col("p_type")))
     line = F.when(F.col("l_linenumber") == 7, name).otherwise(F.concat(amount, unit, name))
-    return items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return spread(items).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey", F.col("l_linenumber").alias("pos"), "l_partkey", line.alias("line")
     )
 
@@ -155,34 +156,42 @@ _RECORDS_SQL = f"""
       FROM b WHERE p_type <> 'SMALL' GROUP BY ALL)"""
 
 
-def _analysed(spark, d):
+def _known(spark, d):
     cache = _records(spark, d, ["STANDARD", "PROMO"]).withColumn("source", F.lit("usda"))
     sources = [
         ("usda", _records(spark, d, ["MEDIUM", "LARGE"])),
         ("second", _records(spark, d, ["ECONOMY", "LARGE"])),
     ]
-    return n.analyse_lines(_lines(spark, d), cache, sources)
+    return cache, sources
+
+
+def _analysed(spark, d):
+    return n.analyse_lines(_lines(spark, d), *_known(spark, d))
+
+
+def _resolved(spark, d):
+    return n.resolve_terms(n.line_terms(_lines(spark, d)), *_known(spark, d))
 
 
 def nutrition_totals(spark, d):
-    stats, _ = _analysed(spark, d)
+    stats = _analysed(spark, d)
     return n.totals(stats, "l_orderkey")
 
 
 def nutrition_lookup(spark, d):
-    _, resolved = _analysed(spark, d)
+    resolved = _resolved(spark, d)
     return resolved.select("term_key", "source", "cached", F.col("nutrition.calories").alias("calories"))
 
 
 def nutrition_cache_rows(spark, d):
-    _, resolved = _analysed(spark, d)
+    resolved = _resolved(spark, d)
     return n.new_cache_rows(resolved, F.lit(_NOW).cast("timestamp_ntz")).select(
         "term_key", "source", F.col("nutrition.protein").alias("protein"), "created_at"
     )
 
 
 def nutrition_breakdown(spark, d):
-    stats, _ = _analysed(spark, d)
+    stats = _analysed(spark, d)
     rows = n.breakdown(stats, "l_orderkey")
     return rows.select(
         "l_orderkey", "pos", "ingredient", "status", "unit", "qty", "source",
@@ -191,7 +200,7 @@ def nutrition_breakdown(spark, d):
 
 
 def _part_recipes(spark, d):
-    part = table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_size"])
+    part = spread(table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_size"]))
     size = F.col("p_size").cast("string")
     food = _food(F.col("p_type"))
     return part.select(
@@ -205,10 +214,7 @@ def _part_recipes(spark, d):
 
 
 def _part_analysis(spark, d):
-    cache = _records(spark, d, ["STANDARD", "PROMO"]).withColumn("source", F.lit("usda"))
-    sources = [("usda", _records(spark, d, ["MEDIUM", "LARGE"])),
-               ("second", _records(spark, d, ["ECONOMY", "LARGE"]))]
-    return n.analyse(_part_recipes(spark, d), cache, sources)[0]
+    return n.analyse(_part_recipes(spark, d), *_known(spark, d))
 
 
 def breakdown_lists(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed, text
 from larder.operators import pages as p
+from larder.operators.shaping import spread
 from larder.plans import sql
 from larder.session import table
 
@@ -28,7 +29,7 @@ def url_normalise(spark, d):
 
 
 def _links(spark, d):
-    return p.page_links(table(spark, d, "pages", ["url", "html"]))
+    return p.page_links(spread(table(spark, d, "pages", ["url", "html"])))
 
 
 def page_links(spark, d):
@@ -63,7 +64,7 @@ def page_blocked(spark, d):
 
 
 def page_dom_fields(spark, d):
-    pages = table(spark, d, "pages", ["page_id", "html"])
+    pages = spread(table(spark, d, "pages", ["page_id", "html"]))
     chosen = {
         "name": ["h1"], "description": ["title"], "ingredients": ["nav li"],
         "instructions": [".ad"], "image": ["img"],
@@ -76,7 +77,9 @@ def page_dom_fields(spark, d):
 
 
 def _pages(spark, d):
-    return as_pages(table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_brand", "p_size"]))
+    return as_pages(
+        spread(table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_brand", "p_size"]))
+    )
 
 
 def as_pages(part):
