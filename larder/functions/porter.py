@@ -1,7 +1,7 @@
 """The suffix stripper published by M. F. Porter in 1980, for single words.
 
-Only ever called on distinct vocabulary words (see `operators.search.stemmed_places`) and on the
-few words of a query.
+Called on the words of a query and on the words of texts that may share a stem with one of them
+(see `operators.search.stemmed_places`).
 """
 
 from __future__ import annotations

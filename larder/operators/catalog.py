@@ -28,10 +28,10 @@ def page_with_count(
 ) -> DataFrame:
     """A page beside the number of all rows (which ignores the page limits).
 
-    The count is a one-row aggregate joined to at most `size` rows.
+    The count is a scalar subquery beside the page.
     """
-    total = df.agg(F.count(F.lit(1)).alias(count))
-    return page(df, order, number, size).join(F.broadcast(total), F.lit(True), "inner")
+    total = df.agg(F.count(F.lit(1)))
+    return page(df, order, number, size).select("*", total.scalar().alias(count))
 
 
 def newest(df: DataFrame, by: list[Column], n: int) -> DataFrame:
@@ -76,7 +76,7 @@ def health(
         return df.agg(*counts, mean)
     n, order = sample
     first = df.filter(score.isNotNull()).orderBy(*order).limit(n).agg(mean)
-    return df.agg(*counts).join(F.broadcast(first), F.lit(True), "inner")
+    return df.agg(*counts).select("*", first.scalar().alias("avg_score"))
 
 
 def recent_audits(df: DataFrame, n: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed, variants
 from larder.functions.scoring import quality_score
-from larder.functions.text import contains_any, normalise_url, truthy, url_host
+from larder.functions.text import normalise_url, truthy, url_host
 from larder.operators.shaping import first_per, once
 
 _JSONLD = (
@@ -35,11 +35,14 @@ def body_text(html: Column) -> Column:
 
 def is_blocked(html: Column, status: Column | None = None) -> Column:
     """Refused by status, or an anti-bot page by its title or body."""
-    # the tags are only taken out where the last word of the phrase occurs at all
-    body = F.when(
+    # the title is only cut out, and the tags only removed, where the words occur at all
+    out = F.when(
         html.contains(fixed.BLOCK_BODY.split()[-1]), body_text(html).contains(fixed.BLOCK_BODY)
     ).otherwise(F.lit(False))
-    out = contains_any(page_title(html), fixed.BLOCK_TITLES) | body
+    for phrase in fixed.BLOCK_TITLES:
+        out = out | F.when(
+            html.contains(phrase), page_title(html).contains(phrase)
+        ).otherwise(F.lit(False))
     if status is not None:
         out = out | F.coalesce(status.isin(fixed.BLOCK_STATUSES), F.lit(False))
     return F.coalesce(out, F.lit(False))

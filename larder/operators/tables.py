@@ -9,8 +9,14 @@ from larder.operators.shaping import first_per
 
 
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Deduplicate: one row per key, the first by the order given."""
-    return first_per(df, keys, order)
+    """Deduplicate: one row per key, the first by the order given.
+
+    Keys are compared by their digest, so a long key (a whole text) is not sorted or shuffled
+    unless the result needs it.
+    """
+    # equal structs have equal JSON, nulls and absent values included
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    return first_per(df.withColumn("_digest", digest), ["_digest"], order).drop("_digest")
 
 
 def upsert(
