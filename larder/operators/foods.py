@@ -21,24 +21,22 @@ def candidates(
     Each term meets the foods on its rarest word only, so a word found in a third of all foods is
     never joined on by a term that has any rarer one, and the other words are tested on the pair.
     """
-    wanted = (
-        terms.select("term").filter(F.col("term") != "").distinct()
-        .withColumn("term_words", F.array_distinct(words.words("term")))
-        .filter(F.size("term_words") > 0)
-    )
+    wanted = terms.select("term").filter(F.col("term") != "").distinct()
     tagged = foods.withColumn("food_words", F.array_distinct(words.words("description")))
     index = tagged.select("*", F.explode("food_words").alias("word"))
     frequency = index.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
 
-    each = wanted.select("term", F.explode("term_words").alias("word"))
+    each = wanted.select("term", F.explode(F.array_distinct(words.words("term"))).alias("word"))
     # a word no food has makes the term unanswerable: frequency 0 is the rarest of all
     rarest = (
         each.join(frequency, "word", "left")
         .groupBy("term")
         .agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "word")).alias("r"))
         .filter("r.f > 0")
-        .select("term", F.col("r.word").alias("word"))
-        .join(wanted, "term")
+        .select(
+            "term", F.col("r.word").alias("word"),
+            F.array_distinct(words.words("term")).alias("term_words"),
+        )
     )
     pairs = rarest.join(index, "word").filter(
         F.size(F.array_except("term_words", "food_words")) == 0

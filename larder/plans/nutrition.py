@@ -240,6 +240,59 @@ def audit_report(spark, d):
     )
 
 
+def food_records(spark, d):
+    """Nutrients and kept portions per user of the events."""
+    events = table(spark, d, "events", ["event_id", "user_id", "event_type", "value"])
+    amounts = events.select(
+        F.col("user_id").alias("fdc_id"), F.col("event_id").alias("seq"),
+        _nutrient(F.col("event_type")).alias("nutrient_id"), F.col("value").alias("amount"),
+    )
+    out = fd.food_records(amounts, _portions(spark, d))
+    shown = F.transform("nutrition.portions", lambda p: F.concat(
+        p["measure"], F.lit("="), p["gramWeight"].cast("decimal(12,2)").cast("string")))
+    return out.select(
+        "fdc_id", F.col("nutrition.calories").alias("calories"),
+        F.col("nutrition.iron_mg").alias("iron_mg"), F.col("nutrition.fat").alias("fat"),
+        F.col("nutrition.serving_size_g").alias("serving_size_g"),
+        F.array_join(shown, "|").alias("portions"),
+    )
+
+
+def nutrition_portions(spark, d):
+    """Recipes of two lines, weighed by the portions of their foods where one fits."""
+    part = spread(table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_size"]))
+    size = F.col("p_size").cast("string")
+    food = F.concat("p_name", F.lit(" pie"))
+    unit = (
+        F.when(F.col("p_type") == "SMALL", F.lit(" cups "))
+        .when(F.col("p_type") == "LARGE", F.lit(" tablespoons "))
+        .when(F.col("p_type") == "PROMO", F.lit(" oz "))
+        .otherwise(F.lit(" slices "))
+    )
+    recipes = part.select(
+        F.col("p_partkey").alias("id"),
+        F.array(F.concat(size, unit, food), food).alias("recipe_ingredients"),
+    )
+    portions = F.array(
+        *[
+            F.struct(F.lit(m).alias("measure"), F.lit(g).alias("gramWeight"))
+            for m, g in [("1 Tablespoon", 7.5), ("cup, packed", 80.25), ("cup, loose", 60.0),
+                         ("Large slice", 33.0)]
+        ]
+    )
+    known = table(spark, d, "part", ["p_name", "p_size"]).groupBy(
+        text.cache_key(text.clean_term(F.concat("p_name", F.lit(" pie")))).alias("term_key")
+    ).agg(
+        F.struct(
+            *[F.max("p_size").cast("double").alias(x) for x in fixed.NUTRIENTS],
+            F.lit(0.0).alias("serving_size_g"), portions.alias("portions"),
+        ).alias("nutrition")
+    )
+    none = known.limit(0).withColumn("source", F.lit("usda"))
+    stats = n.analyse(recipes, none, [("usda", known)])
+    return n.totals(stats, "id").select("id", "calories", "iron_mg", "sugar")
+
+
 def _foods(spark, d):
     part = table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_brand", "p_size"])
     kind = (
@@ -329,15 +382,18 @@ def _pick_sql() -> str:
 _EVENT_NUTRIENT = {"click": 1008, "view": 1003, "error": 1089, "signup": 2000, "purchase": 1162}
 
 
+def _nutrient(kind):
+    out = None
+    for k, v in _EVENT_NUTRIENT.items():
+        out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
+    return out
+
+
 def nutrient_pivot(spark, d):
     events = table(spark, d, "events", ["event_id", "user_id", "event_type", "value"])
-    number = None
-    for k, v in _EVENT_NUTRIENT.items():
-        hit = F.col("event_type") == k
-        number = F.when(hit, v) if number is None else number.when(hit, v)
     rows = events.select(
         F.col("user_id").alias("fdc_id"), F.col("event_id").alias("seq"),
-        number.alias("nutrient_id"), F.col("value").alias("amount"),
+        _nutrient(F.col("event_type")).alias("nutrient_id"), F.col("value").alias("amount"),
     )
     return fd.nutrient_record(rows)
 
@@ -455,6 +511,35 @@ QUERIES = {
         FROM x LEFT JOIN r ON r.term_key = 'v9:' || lower({sql.clean_term('n')})
         GROUP BY id, name, l0, l1""",
     ),
+    "nutrition_portions": (
+        nutrition_portions,
+        f"""
+        WITH k AS (SELECT {sql.clean_term("p_name || ' pie'")} AS name, CAST(max(p_size) AS DOUBLE) AS v
+          FROM part GROUP BY 1),
+        w AS (SELECT p_partkey AS id, v,
+          p_size * CASE p_type WHEN 'SMALL' THEN 80.25::DOUBLE WHEN 'LARGE' THEN 7.5::DOUBLE
+            WHEN 'PROMO' THEN 28.35::DOUBLE ELSE 33.0::DOUBLE END AS w0, 33.0::DOUBLE AS w1
+          FROM part JOIN k ON {sql.clean_term("p_name || ' pie'")} = name),
+        s AS (SELECT id, v * (w0 / 100.0::DOUBLE) + v * (w1 / 100.0::DOUBLE) AS total FROM w)
+        SELECT id, {sql.rounded_total('total', 'calories')} AS calories,
+          {sql.rounded_total('total', 'iron_mg')} AS iron_mg,
+          {sql.rounded_total('total', 'sugar')} AS sugar FROM s""",
+    ),
+    "food_records": (
+        food_records,
+        """SELECT user_id AS fdc_id,
+          coalesce(arg_min(value, event_id) FILTER (event_type = 'click'), 0.0::DOUBLE) AS calories,
+          coalesce(arg_min(value, event_id) FILTER (event_type = 'error'), 0.0::DOUBLE) AS iron_mg,
+          0.0::DOUBLE AS fat, 100.0::DOUBLE AS serving_size_g,
+          concat_ws('|',
+            'cup=' || CAST(CAST(arg_min(value, event_id) FILTER (event_type = 'click')
+              AS DECIMAL(12,2)) AS VARCHAR),
+            'teaspoon=' || CAST(CAST(arg_min(value, event_id) FILTER (event_type = 'error')
+              AS DECIMAL(12,2)) AS VARCHAR),
+            'whole=' || CAST(CAST(arg_min(value, event_id) FILTER (event_type = 'view')
+              AS DECIMAL(12,2)) AS VARCHAR)) AS portions
+        FROM events GROUP BY user_id""",
+    ),
     "food_pick": (food_pick, _pick_sql()),
     "nutrient_pivot": (
         nutrient_pivot,

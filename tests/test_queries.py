@@ -47,7 +47,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plan
 
 
-@pytest.mark.parametrize("name", ["dedup_latest", "last_jobs", "key_latest_per_owner", "food_pick", "page_stored"])
+@pytest.mark.parametrize("name", ["dedup_latest", "last_jobs", "key_latest_per_owner", "page_stored"])
 def test_groups_are_trimmed_before_the_shuffle(spark, name):
     plan = _plan(entry.queries()[name](spark, FOLDER))
     assert "WindowGroupLimit" in plan and "Partial" in plan
