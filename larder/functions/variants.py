@@ -103,8 +103,19 @@ def instruction_list(v: Column) -> Column:
     ).when(kind(v) == "STRING", F.array(text(v)))
 
 
+def bound(value: Column, make) -> Column:
+    """`make` of a value that is worked out once, however often `make` uses it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def repaired_image(image: Column, otherwise: Column) -> Column:
     """The URL inside an image field that holds a JSON object; `otherwise` when none is found."""
-    v = F.try_parse_json(image)
-    found = F.coalesce(non_empty(text(v, "$.url")), non_empty(text(v, "$.contentUrl")))
-    return F.when(F.ltrim(image).startswith("{"), F.coalesce(found, otherwise)).otherwise(image)
+
+    def inside(v: Column) -> Column:
+        return F.coalesce(
+            non_empty(text(v, "$.url")), non_empty(text(v, "$.contentUrl")), otherwise
+        )
+
+    return F.when(
+        F.ltrim(image).startswith("{"), bound(F.try_parse_json(image), inside)
+    ).otherwise(image)

@@ -23,11 +23,9 @@ def parsed(df: DataFrame, line: str = "line") -> DataFrame:
     The pattern is applied once per line, and its three groups are cut apart at a mark.
     """
     mark = "\u0001"
-    marked = F.regexp_replace(
-        F.translate(line, mark, " "), fixed.LINE_PATTERN, f"$1{mark}$2{mark}$3"
-    )
+    marked = F.regexp_replace(line, fixed.LINE_PATTERN, f"$1{mark}$2{mark}$3")
     out = once(df, "_parts", F.split(marked, mark))
-    match = F.size("_parts") == 3
+    match = (F.size("_parts") == 3) & ~F.col(line).contains(mark)
     qty, unit, name = (F.get("_parts", F.lit(i)) for i in range(3))
     return (
         out.withColumn("qty", F.when(match, text.parse_quantity(qty)).otherwise(1.0))
@@ -64,42 +62,50 @@ def _first_contained(name: Column, table: list[tuple[str, float]], default: floa
     return out.otherwise(default)
 
 
-def density(name: Column, strict_parity: bool = True) -> Column:
-    """Grams per millilitre. In table order `sugar` hides `brown sugar`; with
-    `strict_parity=False` the longer key comes first."""
+def density(low_name: Column, strict_parity: bool = True) -> Column:
+    """Grams per millilitre by the lowercased name. In table order `sugar` hides `brown sugar`;
+    with `strict_parity=False` the longer key comes first."""
     table = fixed.DENSITIES
     if not strict_parity:
         table = sorted(table, key=lambda e: -len(e[0]))
-    return _first_contained(F.lower(name), table, fixed.DEFAULT_DENSITY)
+    return _first_contained(low_name, table, fixed.DEFAULT_DENSITY)
 
 
-def piece_weight(name: Column) -> Column:
-    low = F.lower(name)
+def piece_weight(low_name: Column) -> Column:
+    """Grams of one piece by the lowercased name."""
     out = None
     for groups, grams in fixed.PIECE_WEIGHTS:
         hit = F.lit(True)
         for group in groups:
-            hit = hit & text.contains_any(low, group)
+            hit = hit & text.contains_any(low_name, group)
         out = F.when(hit, grams) if out is None else out.when(hit, grams)
     return out.otherwise(fixed.DEFAULT_PIECE_WEIGHT)
 
 
 def _factor(u: Column, table: list[tuple[list[str], float]]) -> Column:
-    out = None
-    for units, factor in table:
-        hit = u.isin(units)
-        out = F.when(hit, factor) if out is None else out.when(hit, factor)
-    return out
-
-
-def grams(unit: Column, qty: Column, name: Column, strict_parity: bool = True) -> Column:
-    """Weight of a quantity in a unit: direct, by volume and density, or by the piece."""
-    u = unit_key(unit, strict_parity)
-    direct = _factor(u, fixed.WEIGHT_UNITS + fixed.COUNT_UNITS)
-    volume = _factor(u, fixed.VOLUME_UNITS)
-    return F.coalesce(
-        qty * direct, qty * volume * density(name, strict_parity), qty * piece_weight(name)
+    pairs = [F.lit(x) for units, factor in table for unit in units for x in (unit, factor)]
+    return F.create_map(*pairs)[u]
+
+
+def weighed(
+    df: DataFrame, unit: str = "unit", qty: str = "qty", name: str = "name",
+    weight: str = "weight_grams", strict_parity: bool = True,
+) -> DataFrame:
+    """Add the weight of a quantity: direct, by volume and density, or by the piece."""
+    keyed = df.withColumn("_u", unit_key(F.col(unit), strict_parity)).withColumn(
+        "_low", F.lower(name)
+    )
+    factors = keyed.withColumn(
+        "_direct", _factor(F.col("_u"), fixed.WEIGHT_UNITS + fixed.COUNT_UNITS)
+    ).withColumn("_volume", _factor(F.col("_u"), fixed.VOLUME_UNITS))
+    low = F.col("_low")
+    grams = (
+        F.when(F.col("_direct").isNotNull(), F.col(qty) * F.col("_direct"))
+        .when(F.col("_volume").isNotNull(),
+              F.col(qty) * F.col("_volume") * density(low, strict_parity))
+        .otherwise(F.col(qty) * piece_weight(low))
     )
+    return factors.withColumn(weight, grams).drop("_u", "_low", "_direct", "_volume")
 
 
 def portion_list(portions: DataFrame) -> DataFrame:
@@ -241,10 +247,12 @@ def analyse_lines(
     joined = attach(
         line_terms(rows), foods.select("term_key", "nutrition", "source"), ["term_key"]
     )
-    weight = grams(F.col("unit"), F.col("qty"), F.col("name"), strict_parity)
+    weights = weighed(joined, strict_parity=strict_parity)
     if "portions" in foods.schema["nutrition"].dataType.names:
-        weight = F.coalesce(portion_grams() * F.col("qty"), weight)
-    return item_stats(joined.withColumn("weight_grams", weight))
+        weights = weights.withColumn("_portion", portion_grams(strict_parity)).withColumn(
+            "weight_grams", F.coalesce(F.col("_portion") * F.col("qty"), "weight_grams")
+        )
+    return item_stats(weights.drop("_portion"))
 
 
 def line_terms(rows: DataFrame) -> DataFrame:
@@ -253,9 +261,9 @@ def line_terms(rows: DataFrame) -> DataFrame:
     return read.withColumn("term_key", text.cache_key("term"))
 
 
-def portion_grams() -> Column:
+def portion_grams(strict_parity: bool = True) -> Column:
     """Grams of the first portion of the food that fits the unit of the line, else null."""
-    u = unit_key(F.col("unit"))
+    u = unit_key(F.col("unit"), strict_parity)
 
     def fits(p: Column) -> Column:
         low = F.lower(p["measure"])

@@ -162,7 +162,7 @@ def last_jobs(spark, d):
 
 
 def image_json_repair(spark, d):
-    events = table(spark, d, "events", ["event_id", "event_type", "props"])
+    events = spread(table(spark, d, "events", ["event_id", "event_type", "props"]))
     k = F.get_json_object("props", "$.k")
     image = (
         F.when(F.col("event_type") == "click", F.concat(F.lit('{"url": "https://i/'), k, F.lit('"}')))

@@ -103,8 +103,7 @@ def quantity_parse(spark, d):
 
 def unit_grams(spark, d):
     rows = n.parsed(_lines(spark, d))
-    weight = n.grams(F.col("unit"), F.col("qty"), F.col("name"))
-    return rows.select("l_orderkey", "pos", "l_partkey", weight.alias("weight"))
+    return n.weighed(rows, weight="weight").select("l_orderkey", "pos", "l_partkey", "weight")
 
 
 def _records(spark, d, kinds):

@@ -248,7 +248,7 @@ def test_keep_latest_tells_null_from_empty(spark):
 )
 def test_line_to_grams(spark, line, qty, unit, name, grams):
     df = nutrition.parsed(spark.createDataFrame([(line,)], "line string"))
-    r = df.withColumn("g", nutrition.grams(F.col("unit"), F.col("qty"), F.col("name"))).first()
+    r = nutrition.weighed(df, weight="g").first()
     got = (r["qty"], r["unit"], r["name"])
     if line == "1 pineapple":  # no unit: the pattern needs text after it
         assert (r["qty"], r["name"], r["g"]) == (1.0, "pineapple", 180.0)
@@ -259,9 +259,8 @@ def test_line_to_grams(spark, line, qty, unit, name, grams):
 
 def test_relaxed_units(spark):
     df = spark.createDataFrame([("tbs",), ("T",), ("pinches",)], "u string")
-    got = [r["g"] for r in df.select(
-        nutrition.grams(F.col("u"), F.lit(1.0), F.lit("brown sugar"), strict_parity=False).alias("g")
-    ).collect()]
+    df = df.select("u", F.lit(1.0).alias("qty"), F.lit("brown sugar").alias("name"))
+    got = [r["g"] for r in nutrition.weighed(df, "u", weight="g", strict_parity=False).collect()]
     assert got == pytest.approx([14.79 * 0.93, 14.79 * 0.93, 0.3])
 
 
