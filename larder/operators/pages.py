@@ -94,8 +94,15 @@ def frontier(links: DataFrame, seen: DataFrame) -> DataFrame:
 
 # --- fields by CSS class ----------------------------------------------------------
 
+# how HTML leaves out end tags (the parts of the standard that matter to the text of an element)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
          "track", "wbr"}
+_ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer",
+           "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p",
+           "pre", "section", "table", "ul"}
+_HOLDS_P = {"button", "caption", "object", "table", "td", "th"}
+_HOLDS_LI = {"article", "blockquote", "ol", "section", "table", "td", "th", "ul"}
+_INLINE = {"a", "b", "big", "code", "em", "font", "i", "s", "small", "strike", "strong", "tt", "u"}
 
 
 class _Fields(HTMLParser):
@@ -119,8 +126,10 @@ class _Fields(HTMLParser):
         return len(steps) == 1 or any(self._meets(steps[0], t, c) for t, c, _ in self.open)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("p", "li") and any(t == tag for t, _, _ in self.open):
-            self._close(tag)
+        if tag in _ENDS_P:
+            self._close("p", _HOLDS_P)
+        if tag == "li":
+            self._close("li", _HOLDS_LI)
         known = dict(attrs)
         classes = set((known.get("class") or "").split())
         sinks = []
@@ -134,14 +143,21 @@ class _Fields(HTMLParser):
         if tag not in _VOID:
             self.open.append((tag, classes, sinks))
 
-    def _close(self, tag: str) -> None:
-        while self.open:
-            if self.open.pop()[0] == tag:
+    def _close(self, tag: str, holders: set[str] = frozenset()) -> None:
+        """End the innermost such element and all inside it, looking no further than a holder."""
+        for i in range(len(self.open) - 1, -1, -1):
+            name = self.open[i][0]
+            if name == tag:
+                if tag in _INLINE:  # blocks begun inside it go on
+                    del self.open[i]
+                else:
+                    del self.open[i:]
+                return
+            if name in holders:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open):
-            self._close(tag)
+        self._close(tag)
 
     def handle_data(self, data: str) -> None:
         for _, _, sinks in self.open:
@@ -368,8 +384,8 @@ def extract(pages: DataFrame, now: Column) -> DataFrame:
 
 
 def gate(rows: DataFrame, at: int = fixed.GATE_SCORE) -> tuple[DataFrame, DataFrame]:
-    """(rows good enough to store, rows turned away)."""
-    good = F.coalesce(F.col("quality_score") >= at, F.lit(False))
+    """(rows good enough to store, rows turned away). A row without a name cannot be stored."""
+    good = F.coalesce(F.col("quality_score") >= at, F.lit(False)) & F.col("name").isNotNull()
     return rows.filter(good), rows.filter(~good)
 
 

@@ -87,6 +87,20 @@ def test_dom_fallback(spark):
     assert row["recipe_instructions"] == ["Boil it", "Eat"]
 
 
+def test_nested_lists_and_unclosed_tags(spark):
+    html = """<h1>Rice</h1><ol class="instructions"><li>Wash<ul><li>twice</li></ul>well</li><li>Boil</ol>
+      <ul><li class="ingredient">rice <b>white<li class="ingredient">salt</b> fine</ul>"""
+    (row,) = found(spark, html)
+    assert row["recipe_instructions"] == ["Washtwicewell", "twice", "Boil"]
+    assert row["recipe_ingredients"] == ["rice white", "salt fine"]
+
+
+def test_a_nameless_item_is_not_stored(spark):
+    item = '{"@type":"Recipe",' + LONG + ',"recipeInstructions":["Boil"]}'
+    df = p.extract(make(spark, (200, LD.format(item))), F.lit("2024-01-01").cast("timestamp"))
+    assert [g.count() for g in p.gate(df)] == [0, 1]
+
+
 def test_dom_needs_a_name_and_a_list(spark):
     assert found(spark, "<h1>Only a title</h1>", '<li class="ingredient">x</li>') == []
 
