@@ -10,9 +10,5 @@ MODULES = ["catalog", "search", "tables", "audit", "nutrition", "pages", "jobs",
 def all_queries() -> dict:
     out = {}
     for name in MODULES:
-        try:
-            module = importlib.import_module(f"larder.plans.{name}")
-        except ModuleNotFoundError:
-            continue
-        out.update(module.QUERIES)
+        out.update(importlib.import_module(f"larder.plans.{name}").QUERIES)
     return out

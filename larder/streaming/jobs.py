@@ -53,7 +53,10 @@ def accept_stream(
     late: str = "10 minutes",
 ) -> DataFrame:
     """Accepted events of a stream `(key, at)`. The state of a key is the time of its last accepted
-    event; it is dropped once the watermark says that it can no longer hold anything back."""
+    event; it is dropped once the watermark says that it can no longer hold anything back.
+
+    A task holds the distinct times of one key in one micro-batch, which the source's limit per
+    trigger bounds; `intervals.accepted` is the form for a whole history."""
     gap = gap_seconds * 1_000_000
     kind = events.schema[key].dataType.simpleString()
 
@@ -64,7 +67,10 @@ def accept_stream(
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        times = sorted(t for part in parts for t in part["us"].tolist())
+        found: set[int] = set()
+        for part in parts:
+            found.update(part["us"].tolist())
+        times = sorted(found)
         taken = []
         for t in times:
             if last is None or t >= last + gap:

@@ -24,7 +24,10 @@ TABLES = (
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        if not Path(f"{folder}/{t}.parquet").exists():
+            continue
+        suffix = "/*.parquet" if Path(f"{folder}/{t}.parquet").is_dir() else ""
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{suffix}')")
     return con
 
 

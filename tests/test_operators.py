@@ -90,6 +90,8 @@ def test_phrase_and_any(spark):
     assert [r["id"] for r in s.text_search(df, F.col("t"), phrase, key="id").collect()] == [1]
     some = s.TextQuery(any_of=("hot", "oven"))
     assert {r["id"] for r in s.text_search(df, F.col("t"), some, key="id").collect()} == {1, 2, 3}
+    gap = s.TextQuery(phrases=(("The", "FISH", "of", "oven"),))
+    assert [r["id"] for r in s.text_search(df, F.col("t"), gap, key="id").collect()] == [2]
     longer = s.TextQuery(phrases=(("fish", "hot", "oven"),))
     assert [r["id"] for r in s.text_search(df, F.col("t"), longer, key="id").collect()] == [2]
 
