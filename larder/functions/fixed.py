@@ -144,6 +144,24 @@ GATE_SCORE = 60
 AUDIT_SCORE = 90
 MAX_RETRIES = 3
 
+# --- message texts ------------------------------------------------------------
+AUDIT_TEXTS = {
+    "repaired": "Auto-repaired image URL from JSON object.",
+    "bad image": "Image URL failed validation: {}",
+    "no image": "Missing image.",
+    "no instructions": "Missing instructions.",
+    "enriched": "Enriched nutrition.",
+    "no nutrition": "Missing nutrition (lookup failed).",
+    "low score": "Quarantined: Low quality score ({}/100).",
+    "scheduled": "Scheduled auto-repair crawl (Attempt {}).",
+    "exhausted": "Auto-repair exhausted. Permanently hiding (Rejected).",
+    "no url": "Cannot auto-repair: No source URL.",
+}
+RECRAWL_LOG = "Auto-repair triggered by the audit (low quality score)"
+ARCHIVE_LOG = "Archived/Stopped by user"
+DEFAULT_DESCRIPTION = "A delicious recipe for {}."
+LAST_LOG_DEFAULT = "Routine check"
+
 # --- pages --------------------------------------------------------------------
 BLOCK_STATUSES = [403, 429]
 BLOCK_TITLES = ["Access Denied", "Just a moment..."]
@@ -182,6 +200,13 @@ STOP_WORDS = (
 # --- publishing ---------------------------------------------------------------
 SITE_PAGES = ["", "/recipes", "/lab", "/docs"]
 URLS_PER_SITEMAP = 50000
+SITEMAP_HEAD = [
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
+]
+SITEMAP_FOOT = "</urlset>"
+STATIC_LINE = "  <url><loc>{site}{page}</loc><changefreq>daily</changefreq></url>"
+RECIPE_LINE = "  <url><loc>{site}/recipe/%s</loc><lastmod>%s</lastmod></url>"
 
 # --- keys ---------------------------------------------------------------------
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"

@@ -133,7 +133,7 @@ def comma_list(c: Column | str) -> Column:
     return F.transform(F.split(_col(c), ","), lambda x: F.trim(x))
 
 
-def last_or(c: Column | str, default: str = "Routine check") -> Column:
+def last_or(c: Column | str, default: str = fixed.LAST_LOG_DEFAULT) -> Column:
     """Last element of a list, or a default text."""
     return F.coalesce(F.try_element_at(_col(c), F.lit(-1)), F.lit(default))
 

@@ -93,9 +93,15 @@ def verdict(
     )
 
 
-def messages(entries: list[tuple[Column, Column | str]]) -> Column:
-    """The messages whose condition holds, in order."""
-    made = [F.when(c, F.lit(m) if isinstance(m, str) else m) for c, m in entries]
+def messages(entries: list[tuple[Column, str, Column | None]]) -> Column:
+    """The texts whose condition holds, in order; a value fills the gap of its text."""
+    made = []
+    for condition, name, value in entries:
+        before, _, after = fixed.AUDIT_TEXTS[name].partition("{}")
+        words = F.lit(before)
+        if value is not None:
+            words = F.concat(words, value.cast("string"), F.lit(after))
+        made.append(F.when(condition, words))
     return F.filter(F.array(*made), lambda m: m.isNotNull())
 
 
@@ -128,21 +134,16 @@ def audit(
     none = F.col("recipe_instructions").isNull() | (F.size("recipe_instructions") == 0)
     log = messages(
         [
-            (~F.col("_image_was").eqNullSafe(image), "Auto-repaired image URL from JSON object."),
-            (truthy(image) & ~F.col("image_ok"),
-             F.concat(F.lit("Image URL failed validation: "), image)),
-            (~truthy(image), "Missing image."),
-            (none, "Missing instructions."),
-            (F.col("backfilled"), "Enriched nutrition."),
-            (F.col("nutrition").isNull(), "Missing nutrition (lookup failed)."),
-            (low, F.concat(F.lit("Quarantined: Low quality score ("),
-                           F.col("quality_score").cast("string"), F.lit("/100)."))),
-            (free & (retries < fixed.MAX_RETRIES),
-             F.concat(F.lit("Scheduled auto-repair crawl (Attempt "),
-                      (retries + 1).cast("string"), F.lit(")."))),
-            (free & (retries >= fixed.MAX_RETRIES),
-             "Auto-repair exhausted. Permanently hiding (Rejected)."),
-            (low & ~has_url, "Cannot auto-repair: No source URL."),
+            (~F.col("_image_was").eqNullSafe(image), "repaired", None),
+            (truthy(image) & ~F.col("image_ok"), "bad image", image),
+            (~truthy(image), "no image", None),
+            (none, "no instructions", None),
+            (F.col("backfilled"), "enriched", None),
+            (F.col("nutrition").isNull(), "no nutrition", None),
+            (low, "low score", F.col("quality_score")),
+            (free & (retries < fixed.MAX_RETRIES), "scheduled", retries + 1),
+            (free & (retries >= fixed.MAX_RETRIES), "exhausted", None),
+            (low & ~has_url, "no url", None),
         ]
     )
     status = verdict(
@@ -167,7 +168,7 @@ def recrawl_jobs(audited: DataFrame, now: Column) -> DataFrame:
         "url",
         F.lit("pending").alias("status"),
         F.lit(0).alias("recipes_found"),
-        F.lit("Auto-repair triggered by the audit (low quality score)").alias("log"),
+        F.lit(fixed.RECRAWL_LOG).alias("log"),
         now.alias("created_at"),
         now.alias("updated_at"),
         F.lit(False).alias("is_archived"),

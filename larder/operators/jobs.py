@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions import fixed
 from larder.functions.text import retry_time, with_scheme
 from larder.operators.shaping import list_parts
 from larder.operators.tables import update_where
 
-ARCHIVE_LOG = "Archived/Stopped by user"
-
-
 def new_jobs(urls: DataFrame, now: Column) -> DataFrame:
     """Pending jobs for bare or full urls."""
     full = with_scheme("url")
@@ -79,7 +77,7 @@ def archive(jobs: DataFrame, now: Column, job_id: Column | None = None) -> DataF
         {
             "is_archived": F.lit(True),
             "status": F.lit("failed"),
-            "log": F.lit(ARCHIVE_LOG),
+            "log": F.lit(fixed.ARCHIVE_LOG),
             "updated_at": now,
         },
     )

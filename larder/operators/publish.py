@@ -10,8 +10,7 @@ from larder.operators.catalog import visible
 
 
 def static_lines(spark: SparkSession, site: str) -> DataFrame:
-    rows = [(f"  <url><loc>{site}{p}</loc><changefreq>daily</changefreq></url>",)
-            for p in fixed.SITE_PAGES]
+    rows = [(fixed.STATIC_LINE.format(site=site, page=p),) for p in fixed.SITE_PAGES]
     return spark.createDataFrame(rows, "line string")
 
 
@@ -19,9 +18,9 @@ def recipe_lines(recipes: DataFrame, site: str, now: Column, id_col: str = "id")
     """One sitemap line per visible row, last modified now where no time is known."""
     stamp = text.iso_millis(F.coalesce(F.col("updated_at"), now))
     return visible(recipes).select(
-        F.concat(
-            F.lit(f"  <url><loc>{site}/recipe/"), F.col(id_col).cast("string"),
-            F.lit("</loc><lastmod>"), stamp, F.lit("</lastmod></url>"),
+        F.format_string(
+            fixed.RECIPE_LINE.format(site=site.replace("%", "%%")),
+            F.col(id_col).cast("string"), stamp,
         ).alias("line")
     )
 
@@ -74,7 +73,7 @@ def schema_org(
         .alias("author"),
         text.iso_millis("created_at").alias("datePublished"),
         text.or_default("description",
-                        F.concat(F.lit("A delicious recipe for "), name, F.lit(".")))
+                        F.format_string(fixed.DEFAULT_DESCRIPTION.format("%s"), name))
         .alias("description"),
         F.coalesce(F.col("recipe_ingredients"), no_texts).alias("recipeIngredient"),
         steps.alias("recipeInstructions"),

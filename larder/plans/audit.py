@@ -14,7 +14,7 @@ _NOW = "2024-06-01 00:00:00"
 
 
 def quality_score(spark, d):
-    docs = table(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    docs = spread(table(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"]))
     seen = table(spark, d, "labels", ["doc_id", "quality", "toxic"])
     rows = shaping.attach(docs, seen, ["doc_id"])
     score = scoring.quality_score(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text, variants
 from larder.operators import catalog, shaping, tables
+from larder.operators.shaping import spread
 from larder.session import table
 
 _HIDDEN = ["PROMO", "SMALL"]
@@ -131,7 +132,9 @@ def insert_split(spark, d):
 
 
 def report_labels(spark, d):
-    events = table(spark, d, "events", ["event_id", "ts", "event_type", "value", "props"])
+    events = spread(
+        table(spark, d, "events", ["event_id", "ts", "event_type", "value", "props"])
+    )
     k = F.get_json_object("props", "$.k")
     listed = F.concat(F.col("event_type"), F.lit(" , k "), k, F.lit(",end "))
     step = F.try_parse_json(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import intervals, keys
 from larder.operators import jobs as j
+from larder.operators.shaping import spread
 from larder.session import table
 
 _NOW = "2024-01-20 00:00:00"
@@ -128,7 +129,7 @@ def record(spark, d):
 
 
 def _keys(spark, d):
-    events = table(spark, d, "events", ["event_id", "user_id", "event_type", "ts"])
+    events = spread(table(spark, d, "events", ["event_id", "user_id", "event_type", "ts"]))
     user = F.col("user_id").cast("string")
     email = (
         F.when(F.col("event_type") == "error", F.concat(F.lit("bad mail"), user))

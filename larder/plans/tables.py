@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import tables as t
+from larder.operators.shaping import spread
 from larder.session import table
 
 
@@ -48,7 +49,7 @@ def fold_changes(spark, d):
 
 
 def update_from_payload(spark, d):
-    events = table(spark, d, "events", ["event_id", "user_id", "props"])
+    events = spread(table(spark, d, "events", ["event_id", "user_id", "props"]))
     k = F.get_json_object("props", "$.k")
     payload = F.concat(
         F.lit('[{"id":'), F.col("user_id"), F.lit(',"k":'), k, F.lit('},{"id":'),

@@ -12,13 +12,6 @@ from pyspark.sql import functions as F
 from larder.functions import fixed
 from larder.operators.tables import insertable, upsert
 
-_HEAD = [
-    '<?xml version="1.0" encoding="UTF-8"?>',
-    '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
-]
-_FOOT = "</urlset>"
-
-
 def append_rows(
     df: DataFrame, path: str, required: list[str], defaults: dict[str, Column], rejects: str
 ) -> None:
@@ -94,9 +87,9 @@ def write_sitemaps(lines: DataFrame, folder: str, site: str, per_file: int = fix
     def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flow = (line for batch in batches for line in batch["line"])
         while chunk := list(islice(flow, per_file)):
-            yield pd.DataFrame({"value": [*_HEAD, *chunk, _FOOT]})
+            yield pd.DataFrame({"value": [*fixed.SITEMAP_HEAD, *chunk, fixed.SITEMAP_FOOT]})
 
-    full = len(_HEAD) + per_file + 1
+    full = len(fixed.SITEMAP_HEAD) + per_file + 1
     lines.select("line").mapInPandas(wrapped, "value string").write.option(
         "maxRecordsPerFile", full
     ).text(f"{folder}/maps")
