@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.functions import fixed
 from larder.operators import pages as pg
+from larder.operators.shaping import spread
 
 
 def append_batches(
@@ -24,7 +25,7 @@ def append_batches(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        job(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        job(spread(batch)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write)
