@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark.
@@ -27,17 +31,33 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, so that they can import it
+    whatever folder or machine they start in."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="larder-")) / "larder.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir` when the session names one.
+    """Folder every executor can reach: `spark.checkpoint.dir` where the session names one, else
+    the checkpoint folder of the context.
 
-    Only where that setting is absent (a local test run) is a temporary folder made.
+    A session on one machine (tests, the benchmark) gets a temporary folder. On a cluster that
+    names none this is an error, as no local folder is seen by all executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="larder-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -52,3 +72,11 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     """Read one Parquet table, keeping only the named columns."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of `df`, computed once, kept in a table of the shared folder and read from there:
+    a lost executor costs a read, and branches that follow do not compute them again."""
+    path = run_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
