@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import simhash
+from larder.llm import packing, pii, quality, simhash
 from larder.session import table
 
 
+def op1_pii_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    found = pii.find(table(spark, d, "documents", ["doc_id", "text"]))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(of(k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_quality_mcd(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    columns = ["doc_id", "text", "lang", "source"]
+    return quality.verdicts(table(spark, d, "documents", columns))
+
+
+def op3_packing_differencing(spark: SparkSession, d: str) -> DataFrame:
+    """Where every piece of every document lies."""
+    pieces = packing.pack(table(spark, d, "documents", ["doc_id", "text"]))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op7_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = simhash.near_groups(table(spark, d, "documents", ["doc_id", "text"]))
@@ -18,5 +48,8 @@ def op7_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_boosted": (op1_pii_boosted, None),
+    "op2_quality_mcd": (op2_quality_mcd, None),
+    "op3_packing_differencing": (op3_packing_differencing, None),
     "op7_simhash_golay": (op7_simhash_golay, None),
 }
