@@ -108,7 +108,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def calibrated(margin: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Calibrated share of label 1; the slope of the margin orders rows inside a step."""
+    """Calibrated share of label 1; a hundredth of the uncalibrated one orders rows inside a step."""
     if not len(knots):
         return sigmoid(margin)
-    return np.interp(margin, knots, values)
+    return 0.99 * np.interp(margin, knots, values) + 0.01 * sigmoid(margin)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import packing, pii, quality, simhash
+from larder.llm import packing, pii, quality, simhash, toxicity
 from larder.session import table
 
 
@@ -39,6 +39,17 @@ def op3_packing_differencing(spark: SparkSession, d: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_toxicity_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Score and prediction of every document; a third of the ids is held out from learning."""
+    docs = table(spark, d, "documents", ["doc_id", "text"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, d, "labels", ["doc_id", "toxic"]).filter(~held_out)
+    scorer = toxicity.train(toxicity.training_rows(docs, labels))
+    return toxicity.score(docs, scorer).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op7_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = simhash.near_groups(table(spark, d, "documents", ["doc_id", "text"]))
@@ -51,5 +62,6 @@ QUERIES = {
     "op1_pii_boosted": (op1_pii_boosted, None),
     "op2_quality_mcd": (op2_quality_mcd, None),
     "op3_packing_differencing": (op3_packing_differencing, None),
+    "op6_toxicity_boosted": (op6_toxicity_boosted, None),
     "op7_simhash_golay": (op7_simhash_golay, None),
 }
