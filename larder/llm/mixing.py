@@ -89,10 +89,8 @@ def lines(sized: DataFrame, bucket: int = 4096) -> DataFrame:
     """Places the documents with words on the line of their source: adds `start`. Buckets are ranges
     of the hash, so the order on the line is the order of the hash."""
     buckets = max(1, -(-sized.count() // bucket))
-    width = 2**64 // buckets + 1
-    dealt = sized.filter("size > 0").withColumn(
-        "_b", F.floor((F.col("h").cast("decimal(38,0)") + 2**63) / F.lit(width).cast("decimal(38,0)")).cast("bigint")
-    )
+    high = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 33)  # 31 bits, in the order of the hash
+    dealt = sized.filter("size > 0").withColumn("_b", F.shiftright(high * F.lit(buckets), 31))
     order = [F.col("h"), F.col("id"), F.col("size")]
     return _running(dealt, ["k"], "_b", order, F.col("size"), "start").drop("_b")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import packing, pii, quality, simhash, toxicity
+from larder.llm import mixing, packing, pii, quality, simhash, toxicity
 from larder.session import table
 
 
@@ -58,10 +58,19 @@ def op7_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_source_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of every document the mix takes, and the target of its source."""
+    documents, pieces = mixing.mix(table(spark, d, "documents", ["doc_id", "text", "source"]))
+    return mixing.taken(documents, pieces).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
 QUERIES = {
     "op1_pii_boosted": (op1_pii_boosted, None),
     "op2_quality_mcd": (op2_quality_mcd, None),
     "op3_packing_differencing": (op3_packing_differencing, None),
     "op6_toxicity_boosted": (op6_toxicity_boosted, None),
     "op7_simhash_golay": (op7_simhash_golay, None),
+    "op9_source_schedule": (op9_source_schedule, None),
 }
