@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing, pii, quality, simhash, toxicity
+from larder.llm import fingerprints, mixing, packing, pii, preferences, quality, sharding, simhash, toxicity, warc
 from larder.session import table
 
 
@@ -39,6 +39,71 @@ def op3_packing_differencing(spark: SparkSession, d: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_preference_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation against the one that ends like its neighbour, as prompt and completions."""
+    talks = table(spark, d, "conversations")
+    made = preferences.format_pairs(talks, preferences.rejected_by_neighbour(talks), "conv_id")
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+    return made.withColumns({c: joined(c) for c in ("chosen_loss", "rejected_loss")})
+
+
+OP4_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), cuts AS (
+  SELECT conv_id, coalesce(max(CASE WHEN role = 'assistant' THEN turn END), max(turn) + 1) AS cut FROM t GROUP BY conv_id
+), pairs AS (
+  SELECT conv_id, cut,
+    coalesce(lead(conv_id) OVER w, min(conv_id) OVER (PARTITION BY conv_id // 64)) AS other
+  FROM cuts WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id)
+), r AS (
+  SELECT t.conv_id, turn, role, text FROM t JOIN cuts USING (conv_id) WHERE turn < cut
+  UNION
+  SELECT p.conv_id, t.turn - o.cut + p.cut, role, text
+  FROM pairs p JOIN cuts o ON o.conv_id = p.other JOIN t ON t.conv_id = p.other WHERE t.turn >= o.cut
+), tn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n FROM t),
+rn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n FROM r),
+j AS (
+  SELECT coalesce(tn.conv_id, rn.conv_id) AS conv_id, coalesce(tn.turn, rn.turn) AS turn, coalesce(tn.n, rn.n) AS n,
+    tn.role AS c_role, rn.role AS r_role, tn.text AS c_text, rn.text AS r_text,
+    coalesce(tn.role = rn.role AND tn.text = rn.text, false) AS same
+  FROM tn FULL JOIN rn ON tn.conv_id = rn.conv_id AND tn.turn = rn.turn AND tn.n = rn.n
+), c AS (
+  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn, n) = 0 AS common FROM j
+), sides AS (
+  SELECT conv_id, turn, n, CASE WHEN common THEN 'p' ELSE 'c' END AS side, c_role AS role, c_text AS text FROM c WHERE c_role IS NOT NULL
+  UNION ALL
+  SELECT conv_id, turn, n, 'r', r_role, r_text FROM c WHERE r_role IS NOT NULL AND NOT common
+), drawn AS (
+  SELECT *, CAST(floor(turn / 256) AS BIGINT) AS part, '<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) AS head,
+    replace(text, '<|im_', '<| im_') || '<|im_end|>' AS body FROM sides
+), placed AS (
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, side ORDER BY turn, n)
+    - length(body) - 1 AS BIGINT) AS at FROM drawn
+)
+SELECT conv_id, part, count(*) FILTER (side = 'p') AS prompt_turns,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY turn, n) FILTER (side = 'p'), '') AS prompt,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY turn, n) FILTER (side = 'c'), '') AS chosen,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY turn, n) FILTER (side = 'r'), '') AS rejected,
+  coalesce(string_agg(at || '-' || (at + length(body)), ',' ORDER BY turn, n) FILTER (side = 'c' AND role = 'assistant'), '') AS chosen_loss,
+  coalesce(string_agg(at || '-' || (at + length(body)), ',' ORDER BY turn, n) FILTER (side = 'r' AND role = 'assistant'), '') AS rejected_loss
+FROM placed GROUP BY conv_id, part
+"""
+
+
+#: The shards that op5 places documents on.
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+def op5_sharding_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Slot and shard of every document, by its id."""
+    return sharding.place(table(spark, d, "documents", ["doc_id", "source"]), "doc_id", SHARDS)
+
+
 def op6_toxicity_boosted(spark: SparkSession, d: str) -> DataFrame:
     """Score and prediction of every document; a third of the ids is held out from learning."""
     docs = table(spark, d, "documents", ["doc_id", "text"])
@@ -58,6 +123,12 @@ def op7_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_warc_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written to an archive, indexed, and read back through the index."""
+    archive = warc.build_index(warc.write(table(spark, d, "pages", ["page_id", "url", "html"])))
+    return warc.read(archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_schedule(spark: SparkSession, d: str) -> DataFrame:
     """How many words of every document the mix takes, and the target of its source."""
     documents, pieces = mixing.mix(table(spark, d, "documents", ["doc_id", "text", "source"]))
@@ -66,11 +137,20 @@ def op9_source_schedule(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op10_content_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.neighbours(table(spark, d, "documents", ["doc_id", "text"]))
+
+
 QUERIES = {
     "op1_pii_boosted": (op1_pii_boosted, None),
     "op2_quality_mcd": (op2_quality_mcd, None),
     "op3_packing_differencing": (op3_packing_differencing, None),
+    "op4_preference_pairs": (op4_preference_pairs, OP4_SQL),
+    "op5_sharding_lookup": (op5_sharding_lookup, None),
     "op6_toxicity_boosted": (op6_toxicity_boosted, None),
     "op7_simhash_golay": (op7_simhash_golay, None),
+    "op8_warc_index": (op8_warc_index, None),
     "op9_source_schedule": (op9_source_schedule, None),
+    "op10_content_chunks": (op10_content_chunks, None),
 }
