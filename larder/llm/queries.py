@@ -83,14 +83,14 @@ j AS (
     replace(text, '<|im_', '<| im_') || '<|im_end|>' AS body FROM sides
 ), placed AS (
   SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, side ORDER BY turn, n)
-    - length(body) - 1 AS BIGINT) AS at FROM drawn
+    - length(body) - 1 AS BIGINT) AS pos FROM drawn
 )
 SELECT conv_id, part, count(*) FILTER (side = 'p') AS prompt_turns,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY turn, n) FILTER (side = 'p'), '') AS prompt,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY turn, n) FILTER (side = 'c'), '') AS chosen,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY turn, n) FILTER (side = 'r'), '') AS rejected,
-  coalesce(string_agg(at || '-' || (at + length(body)), ',' ORDER BY turn, n) FILTER (side = 'c' AND role = 'assistant'), '') AS chosen_loss,
-  coalesce(string_agg(at || '-' || (at + length(body)), ',' ORDER BY turn, n) FILTER (side = 'r' AND role = 'assistant'), '') AS rejected_loss
+  coalesce(string_agg(pos || '-' || (pos + length(body)), ',' ORDER BY turn, n) FILTER (side = 'c' AND role = 'assistant'), '') AS chosen_loss,
+  coalesce(string_agg(pos || '-' || (pos + length(body)), ',' ORDER BY turn, n) FILTER (side = 'r' AND role = 'assistant'), '') AS rejected_loss
 FROM placed GROUP BY conv_id, part
 """
 

@@ -2,8 +2,9 @@
 
 `write` stores one record per page, each a gzip member of its own, in files of bounded size. Pages
 of equal payload have one response record, that of the largest page id; the others are revisit
-records that name it. Which it is comes from a partial aggregate over digests; only digests that
-occur twice or more are joined back, salted, so a payload with a third of all rows is no hot key.
+records that name it. Which it is comes from partial aggregates over digests, without the pages;
+only digests that occur twice or more are joined back, salted, so a payload with a third of all
+rows is no hot key. Pages are shuffled once, by row, and equal rows as one.
 
 `build_index` sorts the captures by reversed-host key (`org,example,www)/path`) over range
 partitions. Each partition cuts its keys into compressed blocks and keeps a sparse directory, one
@@ -16,7 +17,8 @@ named in the capture table, so a task that runs again leaves a stray file and no
 folder may be any that pyarrow opens (local or mounted paths, HDFS, object stores).
 
 A null page is an empty payload, a null url an empty one; a null page id is kept (it is the least
-of its payload) and read back as null. Rows with equal ids are records of their own. Very long
+of its payload) and read back as null. Rows with equal ids are records of
+their own; of rows with the largest id and equal payloads that with the last url is the response. Very long
 pages need the memory of one page. An empty table gives no records. Extra columns are not read.
 """
 
@@ -76,27 +78,27 @@ def _digest(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def _record_id(number: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(number))}>"
+def _record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
 
 
 def record(row: dict) -> bytes:
     """One WARC record as a gzip member."""
-    payload = (row["html"] or "").encode()
+    revisit = row["refers_name"] is not None
+    payload = b"" if revisit else (row["html"] or "").encode()
     url = quote(row["url"] or "", safe="".join(map(chr, range(33, 127))) + "%")
-    revisit = row["refers_n"] is not None
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-    block = head.encode() + (b"" if revisit else payload)
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n"
+    block = head.encode() + payload
     fields = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _record_id(row["n"]),
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _record_id(row["name"]),
         "WARC-Target-URI": url, "WARC-Date": DATE,
-        "WARC-Payload-Digest": f"sha1:{_digest(row['digest'])}", "X-Payload-Length": len(payload),
+        "WARC-Payload-Digest": f"sha1:{_digest(row['digest'])}", "X-Payload-Length": row["bytes"],
         "X-Page-Id": row["page_id"],
     }
     if revisit:
         fields |= {
             "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            "WARC-Refers-To": _record_id(row["refers_n"]), "X-Refers-To-Page": row["refers_to"],
+            "WARC-Refers-To": _record_id(row["refers_name"]), "X-Refers-To-Page": row["refers_to"],
         }
     fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None)]
@@ -149,18 +151,25 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = FILE_BYTES)
     folder = run_folder(pages.sparkSession, "warc")
     body = F.coalesce("html", F.lit(""))
     marked = pages.select(
-        "page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"),
-        F.octet_length(body).alias("bytes"), F.monotonically_increasing_id().alias("n"),
-    ).withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(_SALTS)).cast("int"))
+        "page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("bytes")
+    ).withColumn("row", F.to_json(F.struct("page_id", "url", "digest")))
+    slim = marked.groupBy("row", "page_id", "digest").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
+    slim = slim.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int"))
     leaders = (
-        marked.filter(F.col("bytes") >= least_bytes).groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.max(F.struct("page_id", "n")).alias("lead")).filter("copies > 1")
+        slim.filter(F.col("bytes") >= least_bytes).groupBy("digest")
+        .agg(F.sum("copies").alias("all"), F.max(F.struct("page_id", "row")).alias("lead")).filter("all > 1")
         .select("digest", "lead", F.explode(F.array(*(F.lit(s) for s in range(_SALTS)))).alias("salt"))
     )
-    other = F.col("lead.n") != F.col("n")
-    ready = marked.join(leaders, ["digest", "salt"], "left").select(
-        "page_id", "url", "html", "digest", "n",
-        F.when(other, F.col("lead.page_id")).alias("refers_to"), F.when(other, F.col("lead.n")).alias("refers_n"),
+    verdicts = slim.join(leaders, ["digest", "salt"], "left").select("row", "copies", "lead")
+    # equal rows travel once, however many they are
+    ready = marked.drop("bytes").dropDuplicates(["row"]).join(verdicts, "row").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))
+    )
+    other = F.col("lead").isNotNull() & ((F.col("lead.row") != F.col("row")) | (F.col("copy") > 0))
+    ready = ready.select(
+        "page_id", "url", "digest", F.concat_ws("#", "row", "copy").alias("name"),
+        F.xxhash64("row", "copy").alias("n"), F.octet_length(body).alias("bytes"), F.when(~other, F.col("html")).alias("html"),
+        F.when(other, F.col("lead.page_id")).alias("refers_to"), F.when(other, F.concat("lead.row", F.lit("#0"))).alias("refers_name"),
     )
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
