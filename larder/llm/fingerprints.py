@@ -33,9 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from larder.llm.common import column, slices
 from larder.session import written
 
-LEAST, NORMAL, MOST = 16, 48, 192
+LEAST, NORMAL, MOST = 16, 64, 255
 #: High bits of the gear hash that must be zero: below and beyond the normal length.
-STRICT, LOOSE = np.uint32(0b1111_11 << 26), np.uint32(0b1111 << 28)
+STRICT, LOOSE = np.uint32(0b1111111 << 25), np.uint32(0b11111 << 27)
 #: One pseudo-random number per byte value, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
 #: Bytes hashed at a time; long texts need no more memory than this for their hashes.
@@ -77,18 +77,18 @@ def boundaries(data: bytes) -> list[int]:
 
 
 def chunks(text: str) -> dict[int, int]:
-    """Digest and length of every distinct chunk."""
+    """Digest (48 bits) and length of every distinct chunk."""
     data = text.encode()
     digest, start, out = xxhash.xxh64_intdigest, 0, {}
     for end in boundaries(data):
-        out[digest(data[start:end])] = end - start
+        out[digest(data[start:end]) >> 16] = end - start
         start = end
     return out
 
 
-def spelt(found: dict[int, int]) -> str:
-    """The fingerprint as text: digest and length of every chunk, sorted."""
-    return ",".join(f"{d:016x}:{found[d]}" for d in sorted(found))
+def packed(found: dict[int, int]) -> bytes:
+    """The fingerprint: six bytes of digest and one of length for every chunk, sorted."""
+    return b"".join((d << 8 | found[d]).to_bytes(7, "big") for d in sorted(found))
 
 
 def containment(own: dict[int, int], other: dict[int, int]) -> float:
@@ -104,9 +104,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - many] + following[:many]
 
 
+#: Digests and fingerprints are bytes inside the operator and hexadecimal digits in its result.
+_BYTES = ("edited_sha256", "fingerprint", "edited_fingerprint")
 _OUT = [
-    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
-    T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
+    T.StructField("n_chars", T.LongType()), *(T.StructField(b, T.BinaryType()) for b in _BYTES),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
 ]
 
@@ -115,7 +116,7 @@ def _compared(text: str, own: dict[int, int], following: str, next_: dict[int, i
     changed = edited(text, following)
     theirs = chunks(changed)
     return (
-        len(text), hashlib.sha256(changed.encode()).hexdigest(), spelt(own), spelt(theirs),
+        len(text), hashlib.sha256(changed.encode()).digest(), packed(own), packed(theirs),
         containment(own, theirs), containment(own, next_),
     )
 
@@ -127,17 +128,17 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of every row."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("fingerprint", T.StringType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("fingerprint", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = column(part, text_col).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [column(part, id_col).cast(arrow[0].type), pa.array([spelt(chunks(t or "")) for t in texts])], schema=arrow
+                [column(part, id_col).cast(arrow[0].type), pa.array([packed(chunks(t or "")) for t in texts], pa.binary())], schema=arrow
             )
 
-    return docs.select(id_col, text_col).mapInArrow(step, schema)
+    return docs.select(id_col, text_col).mapInArrow(step, schema).withColumn("fingerprint", F.lower(F.hex("fingerprint")))
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,4 +192,5 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 for own, text, following in zip(*(c.to_pylist() for c in piece.columns), strict=True)
             ], final_arrow)
 
-    return walked.filter("kind = 0").select(id_col, *(f.name for f in _OUT)).unionByName(tails.mapInArrow(last, final))
+    found = walked.filter("kind = 0").select(id_col, *(f.name for f in _OUT)).unionByName(tails.mapInArrow(last, final))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in _BYTES})
