@@ -117,5 +117,5 @@ def repaired_image(image: Column, otherwise: Column) -> Column:
         )
 
     return F.when(
-        F.ltrim(image).startswith("{"), bound(F.try_parse_json(image), inside)
+        image.rlike(r"^\s*\{"), bound(F.try_parse_json(image), inside)
     ).otherwise(image)

@@ -207,7 +207,7 @@ def rounded_total(total: Column, nutrient: str) -> Column:
 
 
 def totals(stats: DataFrame, key: str) -> DataFrame:
-    """Totals per recipe, summed on the map side first."""
+    """Totals per recipe, summed on the map side first; zeros for a recipe without lines."""
     return stats.groupBy(key).agg(
         *[rounded_total(F.sum(F.col(n)), n).alias(n) for n in fixed.NUTRIENTS]
     )
@@ -216,7 +216,7 @@ def totals(stats: DataFrame, key: str) -> DataFrame:
 def breakdown(stats: DataFrame, key: str) -> DataFrame:
     """One row per line: what was read, what it weighs, what it adds; `not_found` lines kept."""
     found = F.col("nutrition").isNotNull()
-    return stats.select(
+    return stats.filter(F.col("line").isNotNull()).select(
         key, "pos", F.col("line").alias("ingredient"),
         F.when(found, "found").otherwise("not_found").alias("status"),
         "name", "term", "unit", "qty", "weight_grams", "source", *fixed.NUTRIENTS,
@@ -224,12 +224,14 @@ def breakdown(stats: DataFrame, key: str) -> DataFrame:
 
 
 def breakdown_lists(stats: DataFrame, key: str) -> DataFrame:
-    """The breakdown as ordered lists per recipe (in parts for recipes of over 1,000 lines)."""
-    rows = breakdown(stats, key).filter(F.col("ingredient").isNotNull())
-    entry = F.struct(
-        "ingredient", "status", "source", "weight_grams", "qty", "unit", *fixed.NUTRIENTS
-    )
-    return list_parts(rows, [key], "pos", entry)
+    """The breakdown as ordered lists per recipe (in parts for recipes of over 1,000 lines); an empty
+    list for a recipe without lines."""
+    status = F.when(F.col("nutrition").isNotNull(), "found").otherwise("not_found").alias("status")
+    entry = F.when(F.col("line").isNotNull(), F.struct(
+        F.col("line").alias("ingredient"), status, "source", "weight_grams", "qty", "unit", *fixed.NUTRIENTS
+    ))
+    rows = stats.withColumn("pos", F.coalesce("pos", F.lit(0)))
+    return list_parts(rows, [key], "pos", entry).withColumn("entries", F.filter("entries", lambda e: e.isNotNull()))
 
 
 def analyse_lines(
@@ -240,12 +242,12 @@ def analyse_lines(
 ) -> DataFrame:
     """Statistics per ingredient line of rows with a column `line`.
 
-    The tables are merged by priority first, so the lines are read, parsed and joined once; lines
-    without a term are spread and hot terms split in that join.
+    The tables are merged by priority first, so the lines are read, parsed and joined once; empty
+    rows have no key and are spread, hot terms are left to the adaptive split in that join.
     """
     foods = known_foods(cache, sources)
     joined = attach(
-        line_terms(rows), foods.select("term_key", "nutrition", "source"), ["term_key"]
+        line_terms(rows, keep_empty=True), foods.select("term_key", "nutrition", "source"), ["term_key"]
     )
     weights = weighed(joined, strict_parity=strict_parity)
     if "portions" in foods.schema["nutrition"].dataType.names:
@@ -255,10 +257,12 @@ def analyse_lines(
     return item_stats(weights.drop("_portion"))
 
 
-def line_terms(rows: DataFrame) -> DataFrame:
-    """Parsed lines with the key of their search term."""
-    read = parsed(rows.filter(F.col("line").isNotNull()))
-    return read.withColumn("term_key", text.cache_key("term"))
+def line_terms(rows: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Parsed lines with the key of their search term; with `keep_empty` also the empty row of a
+    recipe without lines, which has no key."""
+    there = F.col("line").isNotNull()
+    read = parsed(rows if keep_empty else rows.filter(there))
+    return read.withColumn("term_key", F.when(there, text.cache_key("term")))
 
 
 def portion_grams(strict_parity: bool = True) -> Column:
