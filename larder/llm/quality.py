@@ -212,31 +212,38 @@ def _inverted(solutions: DataFrame) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, solutions: DataFrame, prior, weight: float, label: str) -> DataFrame:
-    """One concentration step of every solution over all rows of its group."""
+    """One concentration step of every solution over all rows of its group. Rows are summed by bin of
+    distance before anything is shuffled; what follows has one row per group, solution and bin. A
+    group of fewer rows than the half it needs goes in whole."""
     near = rows.join(_inverted(solutions).select("g", "s", "mean", "inv"), "g").select("g", "s", "x", _bin(_mahalanobis()).alias("b"))
-    near = written(near, label)
-    bins = near.groupBy("g", "s", "b").agg(F.count("*").alias("n"))
-    by_bin = "PARTITION BY g, s ORDER BY b"
-    limits = (
-        bins.withColumn("upto", F.expr(f"sum(n) OVER ({by_bin})"))
-        .withColumn("all", F.expr("sum(n) OVER (PARTITION BY g, s)"))
-        .filter(F.col("upto") >= F.floor((F.col("all") + DIMENSIONS + 1) / 2))
-        .groupBy("g", "s").agg(F.min("b").alias("limit"))
-    )
     x = [F.col("x")[i] for i in range(DIMENSIONS)]
-    sums = near.join(limits, ["g", "s"]).filter("b <= limit").groupBy("g", "s").agg(
+    upper = list(zip(*np.triu_indices(DIMENSIONS), strict=True))
+    bins = written(near.groupBy("g", "s", "b").agg(
         F.count("*").alias("n"),
         F.array(*(F.sum(a) for a in x)).alias("first"),
-        F.array(*(F.sum(a * c) for a in x for c in x)).alias("second"),
+        F.array(*(F.sum(x[i] * x[j]) for i, j in upper)).alias("second"),
+    ), label)
+    inside = (
+        bins.withColumn("before", F.expr("coalesce(sum(n) OVER (PARTITION BY g, s ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+        .withColumn("all", F.expr("sum(n) OVER (PARTITION BY g, s)"))
+        .filter(F.col("before") < F.floor((F.col("all") + DIMENSIONS + 1) / 2))
+    )
+    sums = inside.groupBy("g", "s").agg(
+        F.sum("n").alias("n"),
+        F.array(*(F.sum(F.col("first")[i]) for i in range(DIMENSIONS))).alias("first"),
+        F.array(*(F.sum(F.col("second")[i]) for i in range(len(upper)))).alias("second"),
     )
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.triu_indices(DIMENSIONS)
         for f in frames:
             out = []
             for g, s, n, first, second in f.itertuples(index=False):
                 mean = np.asarray(first) / n
-                cov = np.reshape(second, (DIMENSIONS, DIMENSIONS)) / n - mean[:, None] * mean
-                centre, spread = _settled(mean, cov, n, prior, weight)
+                product = np.zeros((DIMENSIONS, DIMENSIONS))
+                product[at] = second
+                product.T[at] = second
+                centre, spread = _settled(mean, product / n - mean[:, None] * mean, n, prior, weight)
                 out.append((g, s, centre, spread.ravel(), np.linalg.slogdet(spread)[1]))
             yield pd.DataFrame(out, columns=["g", "s", "mean", "cov", "det"])
 
