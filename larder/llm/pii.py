@@ -11,7 +11,9 @@ candidates the better one is taken, and none may overlap a base span.
 The trees learn without hand labels: base spans of a bounded sample of the rows (`sample_docs`
 documents, `sample_candidates` candidates), candidates that stand the same checks where a neighbour
 hid them from the base patterns, and rewritten spellings of both are the positive examples;
-candidates that the checks refuse, and broken spellings, are the negative ones. Without a positive example nothing is added to the base spans.
+candidates that a check refuses (see `refused`), and broken spellings, are the negative ones. A loose
+spelling that no check refuses may be a true one: it is not learned from. Without a positive example
+nothing is added to the base spans.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows with null ids
 and repeated rows are searched like any other; an empty table gives no rows; extra columns are
@@ -20,6 +22,7 @@ kept by `redact` and not read by `find`.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -199,15 +202,54 @@ def passes(kind: str, body: str) -> bool:
     return (kind, 0, len(body)) in base_spans(body)
 
 
+#: National phone numbers as such; other groups of digits may be phone numbers where nothing says otherwise.
+_NATIONAL = re.compile(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])?[0-9]{3}[ .-][0-9]{4}")
+_RUNS_IN, _RUNS_ON = re.compile(r"[0-9][ ./_()-]{0,2}$"), re.compile(r"[ ./_()-]{0,2}[0-9]")
+
+
+def refused(kind: str, text: str, start: int, end: int) -> bool:
+    """A check says that a candidate is none of its kind: Luhn's, parts of an address over 255 or not
+    four, no valid colon form, digit counts, a host that is none, or the context of a look-alike."""
+    body, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 8]
+    digits = _digits(body)
+    if kind == "card":
+        return not luhn(digits)
+    if kind == "ip":
+        if ":" in body:
+            try:
+                return not ipaddress.IPv6Address(body)
+            except ValueError:
+                return True
+        parts = re.findall("[0-9]+", body)
+        return len(parts) != 4 or any(int(p) > 255 for p in parts) or not ("[" in body or "(" in body)
+    if kind == "email":
+        user, _, host = re.split(r"(@|[(\[{]at[)\]}]|\bat\b)", body, maxsplit=1, flags=re.I)
+        last = re.split(r"[^A-Za-z0-9-]+", host)[-1]
+        prose = user.strip().isalpha() and not re.search(r"[(\[{]| dot ", body, re.I) and not _TOP.search(host)
+        return not (len(last) > 1 and last.isalpha()) or prose
+    if before[-1:].isalnum() or after[:1].isalnum():
+        return True
+    if not CUES["phone"].search(before) and _AGAINST.search(before):
+        return True
+    runs = bool(_RUNS_IN.search(before) or _RUNS_ON.match(after))
+    if _NATIONAL.fullmatch(body):
+        return len(digits) < 10 and runs
+    if not 10 <= len(digits) <= 15 or runs:
+        return True
+    return len(digits) == len(body) and not body.startswith("00") and not CUES["phone"].search(before)
+
+
 def examples(text: str) -> list[tuple[float, list[float]]]:
-    """(label, features) of the candidates of a text and of its respelt base spans."""
+    """(label, features) of the candidates of a text that a check decides and of its respelt base spans."""
     base = base_spans(text)
     found = candidates(text)
     out = []
     for kind, start, end in found:
         mates = [s for s in base if s[1] < end and start < s[2]]
         if not mates:
-            out.append((float(passes(kind, text[start:end])), features(text, kind, start, end)))
+            true = passes(kind, text[start:end])
+            if true or refused(kind, text, start, end):
+                out.append((float(true), features(text, kind, start, end)))
         elif any(s[0] == kind and s[1:] == (start, end) for s in mates):
             out.append((1.0, features(text, kind, start, end)))
     for kind, start, end in base:
