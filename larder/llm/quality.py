@@ -19,8 +19,10 @@ rows of every group. So a group of one row has an estimate as well, and one rule
 size.
 
 Null texts and texts without words have all counts zero and fail the base rule. Null languages
-and sources are groups of their own. Repeated rows each count. An empty table gives no rows.
-Extra columns are not read by `verdicts` and kept by `keep_good`.
+and sources are groups of their own. Rows of one group with equal counts (copies of a text, above
+all) are collapsed by a partial aggregate and count once in the prior, the subsets and the
+concentration, so that copies neither gather in one task nor draw the estimate to themselves; every
+row has its verdict. An empty table gives no rows. Extra columns are not read by `verdicts` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -285,7 +287,8 @@ def verdicts(
     found = found.select("*", base_failed().alias("base_failed"))
     group = F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))).alias("g")
     vectors = found.select("*", group, vector().alias("x"))
-    fitted = vectors.filter("NOT base_failed").select("g", "x", F.xxhash64(id_col, *COUNTS, *EXTRA).alias("h"))
+    once = vectors.filter("NOT base_failed").select("g", *COUNTS, *EXTRA).distinct()
+    fitted = written(once.select("g", vector().alias("x"), F.xxhash64(*COUNTS, *EXTRA).alias("h")), "quality-distinct")
     best = _inverted(estimates(fitted, **fitting)).select("g", "mean", "inv")
     joined = vectors.join(best, "g", "left").withColumn("distance", _mahalanobis())
     return joined.select(
