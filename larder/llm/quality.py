@@ -3,9 +3,9 @@
 Counts of every whole text are turned into a vector of transformed rates. For each language and
 source the minimum-covariance-determinant (MCD) estimate of centre and scatter is found by the
 nested FAST-MCD scheme: every group is dealt by hash into subsets of about `subset` rows, each
-subset is searched from many small starts with two concentration steps, the best solutions of all
-subsets are carried to the whole group, and concentration steps over all rows of the group follow
-until the best determinant stands. A document is rejected when it fails a base rule or when its
+subset is searched from many small starts with two concentration steps, the two solutions of lowest
+determinant over all subsets of a group (`carried`) are carried to the whole group, and three
+concentration steps (`steps`) over all its rows follow, without a test that they have settled. A document is rejected when it fails a base rule or when its
 squared Mahalanobis distance exceeds the limit.
 
 How it scales: texts are read once, the counts (a row of numbers) are kept in the shared folder,
