@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import fingerprints, mixing, packing, pii, preferences, quality, sharding, simhash, toxicity, warc
+from larder.llm import filter_audit, fingerprints, mixing, packing, pii, preferences, quality, sharding, simhash, toxicity, warc
 from larder.session import table
 
 
@@ -142,6 +142,55 @@ def op10_content_chunks(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, d, "documents", ["doc_id", "text"]))
 
 
+def op13_filter_postings(spark: SparkSession, d: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    return filter_audit.interactions(
+        table(spark, d, "documents", ["doc_id", "text", "lang"]), table(spark, d, "labels")
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN coalesce(doc_id > first_id, false) THEN 16 ELSE 0 END) AS mask
+  FROM d JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+), counts AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL
+), letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, range(1, 6) r(step)
+), found AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM found
+"""
+
+
 QUERIES = {
     "op1_pii_boosted": (op1_pii_boosted, None),
     "op2_quality_mcd": (op2_quality_mcd, None),
@@ -153,4 +202,5 @@ QUERIES = {
     "op8_warc_index": (op8_warc_index, None),
     "op9_source_schedule": (op9_source_schedule, None),
     "op10_content_chunks": (op10_content_chunks, None),
+    "op13_filter_postings": (op13_filter_postings, OP13_SQL),
 }
