@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import filter_audit, fingerprints, mixing, packing, pii, preferences, quality, sharding, simhash, toxicity, warc
+from larder.llm import filter_audit, fingerprints, mixing, packing, pii, preferences, quality, sharding, simhash, spelling, toxicity, warc
 from larder.session import table
 
 
@@ -142,6 +142,11 @@ def op10_content_chunks(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, d, "documents", ["doc_id", "text"]))
 
 
+def op11_spelling_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling.document_variants(table(spark, d, "documents", ["doc_id", "text"]))
+
+
 def op13_filter_postings(spark: SparkSession, d: str) -> DataFrame:
     """What five filters remove in every order, by language."""
     return filter_audit.interactions(
@@ -202,5 +207,6 @@ QUERIES = {
     "op8_warc_index": (op8_warc_index, None),
     "op9_source_schedule": (op9_source_schedule, None),
     "op10_content_chunks": (op10_content_chunks, None),
+    "op11_spelling_gram": (op11_spelling_gram, None),
     "op13_filter_postings": (op13_filter_postings, OP13_SQL),
 }
