@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import filter_audit, fingerprints, mixing, packing, pii, preferences, quality, sharding, simhash, spelling, toxicity, warc
+from larder.llm import filter_audit, fingerprints, mixing, multi_index, packing, pii, preferences, quality, sharding, simhash, spelling, toxicity, warc
 from larder.session import table
 
 
@@ -147,6 +147,12 @@ def op11_spelling_gram(spark: SparkSession, d: str) -> DataFrame:
     return spelling.document_variants(table(spark, d, "documents", ["doc_id", "text"]))
 
 
+def op12_multi_index(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    rows = table(spark, d, "embeddings", ["vec_id", "embedding"])
+    return multi_index.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op13_filter_postings(spark: SparkSession, d: str) -> DataFrame:
     """What five filters remove in every order, by language."""
     return filter_audit.interactions(
@@ -208,5 +214,6 @@ QUERIES = {
     "op9_source_schedule": (op9_source_schedule, None),
     "op10_content_chunks": (op10_content_chunks, None),
     "op11_spelling_gram": (op11_spelling_gram, None),
+    "op12_multi_index": (op12_multi_index, None),
     "op13_filter_postings": (op13_filter_postings, OP13_SQL),
 }
