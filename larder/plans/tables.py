@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from larder.operators import tables as t
 from larder.operators.shaping import spread
-from larder.session import table
+from larder.session import run_folder, table
+from larder.sources.store import Store
 
 
 def dedup_latest(spark, d):
@@ -34,6 +35,27 @@ def upsert_by_key(spark, d):
     )
 
 
+def upsert_batches(spark, d):
+    """Orders up to 1996 as a stored table, then three batches: new orders with changed prices, urgent
+    orders once more, and orders under new keys."""
+    orders = table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+    dates = table(spark, d, "orders", ["o_orderkey", "o_orderdate"])
+    store = Store(spark, run_folder(spark, "upsert-batches"))
+    known = orders.join(dates.filter(F.year("o_orderdate") <= 1996), "o_orderkey", "left_semi")
+    open_orders = orders.filter(F.col("o_orderstatus") == "O")
+    urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    batches = [
+        known,
+        open_orders.withColumn("o_totalprice", F.when(F.col("o_custkey") % 2 == 0, F.col("o_totalprice") * 2)),
+        urgent.withColumn("o_custkey", -F.col("o_custkey")).withColumn("o_orderpriority", F.lit(None).cast("string")),
+        orders.filter(F.col("o_orderstatus") == "P").withColumn("o_orderkey", -F.col("o_orderkey")),
+    ]
+    for number, rows in enumerate(batches):
+        store.upsert("orders", rows, "o_orderkey", buckets=8, mark=("load", number), overwrite=["o_orderpriority"])
+        store.upsert("orders", rows, "o_orderkey", mark=("load", number))  # a repeated batch does nothing
+    return store.read("orders")
+
+
 def fold_changes(spark, d):
     events = table(spark, d, "events")
     changes = events.select(
@@ -96,6 +118,22 @@ QUERIES = {
             AS o_orderpriority
         FROM o FULL OUTER JOIN n ON o.o_orderkey = n.o_orderkey""",
     ),
+    "upsert_batches": (
+        upsert_batches,
+        """
+        WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
+        k AS (SELECT o_orderkey FROM orders WHERE year(o_orderdate) <= 1996),
+        s AS (SELECT a.*, k.o_orderkey IS NOT NULL AS known, o_orderstatus = 'O' AS opened,
+          o_orderpriority = '1-URGENT' AS urgent FROM a LEFT JOIN k ON a.o_orderkey = k.o_orderkey)
+        SELECT o_orderkey, CASE WHEN urgent THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus,
+          CASE WHEN urgent THEN o_totalprice
+               WHEN opened AND o_custkey % 2 = 0 THEN o_totalprice * 2
+               WHEN opened AND NOT known THEN NULL ELSE o_totalprice END AS o_totalprice,
+          CASE WHEN NOT urgent THEN o_orderpriority END AS o_orderpriority
+        FROM s WHERE known OR opened OR urgent
+        UNION ALL
+        SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM a WHERE o_orderstatus = 'P'""",
+    ),
     "fold_changes": (
         fold_changes,
         """SELECT user_id, max(event_id) AS event_id,

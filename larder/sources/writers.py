@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from itertools import islice
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
-from larder.operators.tables import insertable, upsert
+from larder.operators.tables import insertable
+from larder.sources.store import Store
 
 def append_rows(
     df: DataFrame, path: str, required: list[str], defaults: dict[str, Column], rejects: str
@@ -21,57 +23,31 @@ def append_rows(
     bad.write.mode("append").parquet(rejects)
 
 
-# --- snapshots: a table is a folder of numbered, complete versions -------------------
+# --- a single versioned table: a store that holds nothing else ------------------------
 
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-            found.append(int(name[1:]))
-    return sorted(found)
+_ROWS = "rows"
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete version of a table, None before the first."""
-    found = _versions(spark, root)
-    return spark.read.parquet(f"{root}/v{found[-1]:010d}") if found else None
-
-
-def write_next(df: DataFrame, root: str) -> DataFrame:
-    """Write the next version beside the one that may be read right now, and return it.
-
-    A version counts once Spark has put its success mark, so a lost job leaves the table as it was.
-    """
-    spark = df.sparkSession
-    found = _versions(spark, root)
-    path = f"{root}/v{(found[-1] + 1 if found else 1):010d}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The newest version of a table, None before the first."""
+    return Store(spark, root).read(_ROWS)
 
 
-def upsert_table(root: str, new: DataFrame, key: str, **options) -> DataFrame:
-    """Upsert rows into a versioned table."""
-    old = read_current(new.sparkSession, root)
-    if old is None:
-        old = new.limit(0)
-    return write_next(upsert(old, new, key, **options), root)
+def upsert_table(root: str, new: DataFrame, key: str, buckets: int = 64, **options) -> DataFrame:
+    """Upsert rows into a versioned table; only the buckets that they fall into are rewritten."""
+    store = Store(new.sparkSession, root)
+    return store.read(_ROWS, store.upsert(_ROWS, new, key, buckets=buckets, **options))
 
 
 def clear_table(spark: SparkSession, root: str) -> tuple[int, int]:
     """Empty a versioned table; the number of rows before and after."""
-    old = read_current(spark, root)
+    store = Store(spark, root)
+    base = store.version()
+    old = store.read(_ROWS, base)
     if old is None:
         return 0, 0
-    before = old.count()
-    return before, write_next(old.limit(0), root).count()
+    after = store.commit(base, {_ROWS: replace(base.tables[_ROWS], folders={})})
+    return old.count(), store.read(_ROWS, after).count()
 
 
 # --- files --------------------------------------------------------------------------
