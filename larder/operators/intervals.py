@@ -1,15 +1,18 @@
 """Minimum interval between accepted events of one key.
 
 An event is accepted when enough time has passed since the last *accepted* event of its key, so the
-outcome depends on the whole history of the key. To keep a key with very many events out of a
-single task, its time line is cut into buckets:
+outcome depends on the whole history of the key. No part of it is walked in one go:
 
-1. within every (key, bucket), the last accepted event is found for each event that could be the
-   first accepted one there; equal outcomes are merged, which leaves few rows per bucket;
-2. per key, these rows are walked in time order, giving each bucket the last event accepted before;
-3. within every (key, bucket), the accepted events follow from that.
+1. The distinct times are dealt out by ranges of (key, time), and every key is cut into runs of at most
+   `run_rows` times, so that a key with most of the rows is spread like any other.
+2. What a run does to the last accepted time is a step function: the first event that may be taken
+   decides which one is taken last. Such functions are composed, `fan` neighbours at a time, in as many
+   rounds as the logarithm of the runs of a key, and on the way back down every run learns the last
+   accepted time before it. Keys of one run skip this.
+3. Every run then takes its events from its known start.
 
-A bucket holds at most a bucket's worth of one key, whatever the length of the history.
+A step function has at most as many steps as its key has distinct times within one interval. Rows
+without a key or a time take no part.
 """
 
 from __future__ import annotations
@@ -17,100 +20,205 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from larder.functions import fixed
+from larder.session import written
+
+#: Before the first accepted event.
+NEVER = -(2**62)
+
+#: Times that a run holds at most.
+RUN_ROWS = 4096
+
+_FUNCTION = "start bigint, enter array<bigint>, leave array<bigint>"
+
+
+# --- step functions ------------------------------------------------------------------
+
+
+def step_function(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(enter, leave) of sorted distinct times: when the interval before is over after enter[i - 1] and
+    not after enter[i], leave[i] is the last time accepted; after the last entry nothing is accepted."""
+    jump = np.searchsorted(times, times + gap)
+    jump = np.where(jump < len(times), jump, np.arange(len(times)))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        jump = further
+    # all earlier events lie before times[0], so the interval is over by times[0] + gap
+    reach = int(np.searchsorted(times, times[0] + gap)) + 1
+    return _merged(times[:reach], times[jump[:reach]])
+
+
+def _merged(enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.r_[leave[1:] != leave[:-1], True] if len(leave) else np.empty(0, bool)
+    return enter[last], leave[last]
+
+
+def applied(enter: np.ndarray, leave: np.ndarray, before, gap: int):
+    """The last accepted time after a function, for one or many last accepted times before it."""
+    before = np.asarray(before)
+    at = np.searchsorted(enter, before + gap)
+    return np.where(at < len(enter), leave[np.minimum(at, len(enter) - 1)], before)
+
+
+def composed(start: int, first: tuple, second: tuple, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The second function after the first, whose earliest time is `start`."""
+    enter, leave = first
+    through = applied(*second, leave, gap)
+    # where the first accepts nothing, the second decides alone
+    more = second[0] > enter[-1]
+    enter = np.concatenate([enter, second[0][more]])
+    through = np.concatenate([through, second[1][more]])
+    reach = int(np.searchsorted(enter, start + gap)) + 1
+    return _merged(enter[:reach], through[:reach])
+
+
+def taken(times: np.ndarray, before: int, gap: int) -> np.ndarray:
+    """The times that are accepted after `before`."""
+    out = []
+    at = int(np.searchsorted(times, before + gap))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + gap))
+    return times[out]
+
+
+# --- runs ----------------------------------------------------------------------------
+
+
+def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [()] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
+
+
+def _arrow(df: DataFrame, key: str, rest: str) -> tuple[StructType, pa.Schema]:
+    schema = StructType([df.schema[key], *StructType.fromDDL(rest).fields])
+    return schema, to_arrow_schema(schema)
+
+
+def runs(times: DataFrame, key: str, gap: int, run_rows: int) -> DataFrame:
+    """(key, part, number, times, function): every key's sorted distinct times `us` in runs of at most
+    `run_rows`; the runs of a key are in the order of (part, number)."""
+    schema, arrow = _arrow(times, key, f"part int, number bigint, times array<bigint>, {_FUNCTION}")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        at, number, rest = None, 0, np.empty(0, np.int64)
+
+        def cut(key_value, held: np.ndarray, last: bool) -> tuple[list[tuple], np.ndarray]:
+            nonlocal number
+            out = []
+            while len(held) >= run_rows or (last and len(held)):
+                now, held = held[:run_rows], held[run_rows:]
+                out.append((key_value, part, number, now, int(now[0]), *step_function(now, gap)))
+                number += 1
+            return out, held
 
-_NEVER = -(2**62)
-
-
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Re-cut sorted batches so that no group is split between two of them."""
-    rest: pd.DataFrame | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        same = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-        start = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-        rest = rows.iloc[start:].reset_index(drop=True)
-        if start:
-            yield rows.iloc[:start]
-    if rest is not None:
-        yield rest
-
-
-def _steps(rows: pd.DataFrame, keys: list[str], gap: int, width: int):
-    """Group numbers, coordinates that keep groups apart, and each event's follower (itself when
-    the group has none)."""
-    group = (rows[keys] != rows[keys].shift()).any(axis=1).cumsum().to_numpy() - 1
-    base = group * (width + gap + 1)
-    at = base + (rows["us"] - rows["bucket"] * width).to_numpy()
-    follower = np.searchsorted(at, at + gap)
-    none = (follower >= len(at)) | (group[np.minimum(follower, len(at) - 1)] != group)
-    here = np.arange(len(at))
-    return group, base, at, np.where(none, here, follower)
-
-
-def _outcomes(keys: list[str], gap: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches, keys):
-            group, base, at, jump = _steps(rows, keys, gap, width)
-            for _ in range(max(1, int(np.ceil(np.log2(width / gap + 2))))):
-                jump = jump[jump]
-            us = rows["us"].to_numpy()
-            early = at - base < gap
-            first = np.r_[True, group[1:] != group[:-1]]
-            entry = early | first | np.r_[False, early[:-1]]
-            out = rows.loc[entry, keys].assign(enter=us[entry], leave=us[jump][entry])
-            g = group[entry]
-            last = np.r_[(g[1:] != g[:-1]) | (np.diff(out["leave"].to_numpy()) != 0), True]
-            yield out[last]
-
-    return run
-
-
-def _walk(key: str, gap: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at_key, before, bucket, settled = None, _NEVER, None, False
         for batch in batches:
+            keys, us = batch.column(0), batch.column(1).to_numpy()
+            if not len(us):
+                continue
+            changes = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(us) - 1)).to_numpy(False)) + 1
             out = []
-            for k, b, enter, leave in zip(
-                batch[key], batch["bucket"], batch["enter"], batch["leave"]
-            ):
-                if k != at_key:
-                    at_key, before, bucket = k, _NEVER, None
-                if b != bucket:
-                    bucket, settled = b, False
-                    out.append((k, b, before))
-                if not settled and enter >= before + gap:
-                    before, settled = leave, True
-            yield pd.DataFrame(out, columns=[key, "bucket", "before"])
-
-    return run
-
-
-def _accept(keys: list[str], gap: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches, keys):
-            group, base, at, follower = _steps(rows, keys, gap, width)
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            opened = rows["before"].to_numpy()[first] + gap
-            start = (rows["bucket"] * width).to_numpy()[first]
-            place = np.searchsorted(at, base[first] + np.clip(opened - start, 0, width + gap))
-            inside = place < len(at)
-            inside[inside] = group[place[inside]] == group[first][inside]
-            taken = np.zeros(len(at), dtype=bool)
-            now = place[inside]
-            while len(now):
-                taken[now] = True
-                after = follower[now]
-                now = after[after != now]
-            yield rows.loc[taken, [*keys, "us"]]
-
-    return run
+            for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(us)], strict=True):
+                now = keys[a].as_py()
+                if now != at:
+                    out += cut(at, rest, True)[0]
+                    at, number, rest = now, 0, np.empty(0, np.int64)
+                made, rest = cut(at, np.concatenate([rest, us[a:b]]), False)
+                out += made
+            yield _rows(out, arrow)
+        yield _rows(cut(at, rest, True)[0], arrow)
+
+    ordered = times.select(key, "us").repartitionByRange(key, "us").sortWithinPartitions(key, "us")
+    return ordered.mapInArrow(step, schema)
+
+
+def _functions(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(key, group, i, start, enter, leave, before) of the rows of a batch, in their order."""
+    lists = [batch.column(c) for c in ("enter", "leave")]
+    plain = [batch.column(c).to_pylist() for c in (0, "g", "i", "start")]
+    befores = batch.column("before").to_pylist() if "before" in batch.schema.names else [None] * batch.num_rows
+    for row, (k, g, i, start) in enumerate(zip(*plain, strict=True)):
+        enter, leave = (np.asarray(x[row].values.to_numpy()) for x in lists)
+        yield k, g, i, start, enter, leave, befores[row]
+
+
+def _up(level: DataFrame, key: str, gap: int, fan: int) -> DataFrame:
+    """Every `fan` neighbouring functions of a key as one."""
+    schema, arrow = _arrow(level, key, f"i bigint, {_FUNCTION}")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start, now = None, 0, None
+        for batch in batches:
+            out = []
+            for k, g, _, begin, enter, leave, _ in _functions(batch):
+                if (k, g) != at:
+                    if now is not None:
+                        out.append((*at, start, *now))
+                    at, start, now = (k, g), begin, (enter, leave)
+                else:
+                    now = composed(start, now, (enter, leave), gap)
+            yield _rows(out, arrow)
+        if now is not None:
+            yield _rows([(*at, start, *now)], arrow)
+
+    grouped = level.withColumn("g", F.floor(F.col("i") / fan).cast("bigint"))
+    ordered = grouped.repartition(key, "g").sortWithinPartitions(key, "g", "i")
+    return ordered.select(key, "g", "i", "start", "enter", "leave").mapInArrow(step, schema)
+
+
+def _down(level: DataFrame, above: DataFrame, key: str, gap: int, fan: int) -> DataFrame:
+    """(key, i, before) of a level from those of the level above it."""
+    schema, arrow = _arrow(level, key, "i bigint, before bigint")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, NEVER
+        for batch in batches:
+            out = []
+            for k, g, i, _, enter, leave, before in _functions(batch):
+                if (k, g) != at:
+                    at, last = (k, g), before
+                out.append((k, i, last))
+                last = int(applied(enter, leave, last, gap))
+            yield _rows(out, arrow)
+
+    grouped = level.withColumn("g", F.floor(F.col("i") / fan).cast("bigint"))
+    known = grouped.join(above.withColumnRenamed("i", "g"), [key, "g"])
+    ordered = known.repartition(key, "g").sortWithinPartitions(key, "g", "i")
+    return ordered.select(key, "g", "i", "start", "enter", "leave", "before").mapInArrow(step, schema)
+
+
+def scan(functions: DataFrame, key: str, gap: int, first: DataFrame | None = None, fan: int = 64) -> DataFrame:
+    """(key, i, before): the last accepted time before each of the functions (key, i, function), which
+    follow each other by `i`, 0 or more. `first` gives (key, before) of keys that have a past."""
+    levels = [functions.select(key, "i", "start", "enter", "leave")]
+    top = functions.agg(F.max("i")).first()[0] or 0
+    while top > 0:
+        levels.append(written(_up(levels[-1], key, gap, fan), "interval-functions"))
+        top //= fan
+    now = levels[-1].select(key, "i")
+    if first is None:
+        now = now.withColumn("before", F.lit(NEVER).cast("bigint"))
+    else:
+        now = now.join(first.select(key, "before"), key, "left").withColumn("before", F.coalesce("before", F.lit(NEVER)))
+    for level in reversed(levels[:-1]):
+        now = _down(level, now, key, gap, fan)
+    return now
+
+
+# --- acceptance ----------------------------------------------------------------------
 
 
 def accepted(
@@ -118,33 +226,32 @@ def accepted(
     key: str,
     at: str,
     gap_seconds: int = fixed.MIN_INTERVAL_SECONDS,
-    bucket_seconds: int | None = None,
+    run_rows: int | None = None,
+    fan: int = 64,
 ) -> DataFrame:
     """`(key, us)`: times, in microseconds, of the accepted events of every key."""
+    run_rows = run_rows or RUN_ROWS
     gap = gap_seconds * 1_000_000
-    width = max(bucket_seconds or 60 * gap_seconds, gap_seconds) * 1_000_000
-    kind = events.schema[key].dataType.simpleString()
-    moment = _micros(F.col(at))
-    times = (
-        events.select(key, moment.alias("us")).distinct()
-        .withColumn("bucket", F.floor(F.col("us") / F.lit(width)).cast("bigint"))
-        .repartition(key, "bucket")
-        .sortWithinPartitions(key, "bucket", "us")
-    )
-    keys = [key, "bucket"]
-    outcomes = times.mapInPandas(
-        _outcomes(keys, gap, width), f"{key} {kind}, bucket bigint, enter bigint, leave bigint"
-    )
-    states = (
-        outcomes.repartition(key).sortWithinPartitions(key, "bucket", "enter")
-        .mapInPandas(_walk(key, gap), f"{key} {kind}, bucket bigint, before bigint")
-    )
-    known = times.join(states, keys).repartition(key, "bucket").sortWithinPartitions(
-        key, "bucket", "us"
-    )
-    return known.mapInPandas(
-        _accept(keys, gap, width), f"{key} {kind}, bucket bigint, us bigint"
-    ).select(key, "us")
+    times = events.select(key, _micros(F.col(at)).alias("us")).filter(F.col(key).isNotNull() & F.col("us").isNotNull())
+    cut = written(runs(written(times.distinct(), "interval-times"), key, gap, run_rows), "interval-runs")
+    # a key has one row per range it lies in; only keys of several runs are numbered through
+    parts = cut.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("all", F.expr(f"sum(n) OVER (PARTITION BY `{key}`)")).filter(F.col("all") > 1)
+    parts = parts.withColumn("base", F.expr(f"sum(n) OVER (PARTITION BY `{key}` ORDER BY part) - n"))
+    numbered = cut.join(parts.select(key, "part", "base"), [key, "part"]).withColumn("i", F.col("base") + F.col("number"))
+    numbered = written(numbered.select(key, "part", "number", "i", "start", "enter", "leave"), "interval-numbered")
+    befores = numbered.select(key, "part", "number", "i").join(scan(numbered, key, gap, fan=fan), [key, "i"])
+    known = cut.select(key, "part", "number", "times").join(befores.drop("i"), [key, "part", "number"], "left")
+    schema, arrow = _arrow(cut, key, "us bigint")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times, before = batch.column("times"), batch.column("before").to_pylist()
+            for row, k in enumerate(batch.column(0).to_pylist()):
+                found = taken(times[row].values.to_numpy(), NEVER if before[row] is None else before[row], gap)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), arrow[0].type), pa.array(found)], schema=arrow)
+
+    return known.select(key, "times", "before").mapInArrow(take, schema)
 
 
 def _micros(at: Column) -> Column:
@@ -153,11 +260,11 @@ def _micros(at: Column) -> Column:
 
 def accepted_events(
     events: DataFrame, key: str, at: str, order: str, gap_seconds: int = fixed.MIN_INTERVAL_SECONDS,
-    bucket_seconds: int | None = None,
+    run_rows: int | None = None,
 ) -> DataFrame:
     """The accepted events; of several at one time the first by `order`."""
     firsts = events.groupBy(key, _micros(F.col(at)).alias("us")).agg(F.min(order).alias(order))
-    return accepted(events, key, at, gap_seconds, bucket_seconds).join(firsts, [key, "us"]).select(
+    return accepted(events, key, at, gap_seconds, run_rows).join(firsts, [key, "us"]).select(
         key, order, F.timestamp_micros("us").alias(at)
     )
 

@@ -182,7 +182,7 @@ def interval_minute(spark, d):
 def interval_long(spark, d):
     events = table(spark, d, "events", ["event_id", "user_id", "ts"])
     return _naive(
-        intervals.accepted_events(events, "user_id", "ts", "event_id", _WAIT, 2 * _WAIT)
+        intervals.accepted_events(events, "user_id", "ts", "event_id", _WAIT)
     )
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,6 +425,54 @@ def test_intervals_equal_the_greedy_fold(spark, bucket):
     }
 
 
+def _after(times, before, gap):
+    last = before
+    for t in times:
+        if t - last >= gap:
+            last = t
+    return last
+
+
+def test_step_functions_compose():
+    rnd = random.Random(5)
+    for _ in range(200):
+        times = sorted(rnd.sample(range(300), rnd.randint(2, 40)))
+        gap, cut = rnd.randint(1, 60), rnd.randint(1, len(times) - 1)
+        first, second = (np.array(x, dtype=np.int64) for x in (times[:cut], times[cut:]))
+        both = intervals.composed(times[0], intervals.step_function(first, gap), intervals.step_function(second, gap), gap)
+        for before in (intervals.NEVER, *range(times[0] - gap - 2, times[0])):
+            want = _after(times, before, gap)
+            assert intervals.applied(*intervals.step_function(np.array(times), gap), before, gap) == want
+            assert intervals.applied(*both, before, gap) == want
+            got = intervals.taken(np.array(times), before, gap).tolist()
+            assert (got[-1] if got else before) == want
+
+
+@pytest.mark.parametrize(("run_rows", "fan"), [(1, 2), (7, 3), (50, 64)])
+def test_one_key_with_most_rows_is_dealt_out(spark, run_rows, fan):
+    rnd = random.Random(run_rows)
+    events = [("hot", rnd.randint(0, 20_000)) for _ in range(2700)] + [(f"k{i % 40}", rnd.randint(0, 9000)) for i in range(300)]
+    events += [(None, 5), ("hot", None), ("hot", -700), ("last", 1), ("last", 1)]
+    df = spark.createDataFrame(events, "k string, s int").select("k", F.timestamp_seconds("s").alias("at"))
+    got = {}
+    for r in intervals.accepted(df, "k", "at", 60, run_rows, fan).collect():
+        got.setdefault(r["k"], []).append(r["us"])
+    want = {}
+    for k, t in events:
+        if k is not None and t is not None:
+            want.setdefault(k, []).append(t * 1_000_000)
+    assert {k: sorted(v) for k, v in got.items()} == {k: _greedy(v, 60_000_000) for k, v in want.items()}
+    times = df.select("k", F.unix_micros("at").alias("us")).filter("k IS NOT NULL AND us IS NOT NULL").distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = intervals.runs(times, "k", 60_000_000, 50).select("k", "part", F.size("times").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["n"] for r in cut) <= 50
+    assert len({r["part"] for r in cut if r["k"] == "hot"}) > 4  # no task holds the key
+    assert intervals.accepted(df.limit(0), "k", "at").count() == 0
+
+
 # --- publishing ---------------------------------------------------------------------
 
 
