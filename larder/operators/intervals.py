@@ -200,11 +200,10 @@ def _down(level: DataFrame, above: DataFrame, key: str, gap: int, fan: int) -> D
     return ordered.select(key, "g", "i", "start", "enter", "leave", "before").mapInArrow(step, schema)
 
 
-def scan(functions: DataFrame, key: str, gap: int, first: DataFrame | None = None, fan: int = 64) -> DataFrame:
+def scan(functions: DataFrame, key: str, gap: int, top: int, first: DataFrame | None = None, fan: int = 64) -> DataFrame:
     """(key, i, before): the last accepted time before each of the functions (key, i, function), which
-    follow each other by `i`, 0 or more. `first` gives (key, before) of keys that have a past."""
+    follow each other by `i`, from 0 to `top`. `first` gives (key, before) of keys that have a past."""
     levels = [functions.select(key, "i", "start", "enter", "leave")]
-    top = functions.agg(F.max("i")).first()[0] or 0
     while top > 0:
         levels.append(written(_up(levels[-1], key, gap, fan), "interval-functions"))
         top //= fan
@@ -237,11 +236,15 @@ def accepted(
     # a key has one row per range it lies in; only keys of several runs are numbered through
     parts = cut.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.withColumn("all", F.expr(f"sum(n) OVER (PARTITION BY `{key}`)")).filter(F.col("all") > 1)
-    parts = parts.withColumn("base", F.expr(f"sum(n) OVER (PARTITION BY `{key}` ORDER BY part) - n"))
-    numbered = cut.join(parts.select(key, "part", "base"), [key, "part"]).withColumn("i", F.col("base") + F.col("number"))
-    numbered = written(numbered.select(key, "part", "number", "i", "start", "enter", "leave"), "interval-numbered")
-    befores = numbered.select(key, "part", "number", "i").join(scan(numbered, key, gap, fan=fan), [key, "i"])
-    known = cut.select(key, "part", "number", "times").join(befores.drop("i"), [key, "part", "number"], "left")
+    most = parts.agg(F.max("all")).first()[0]
+    if most is None:
+        known = cut.select(key, "times", F.lit(NEVER).cast("bigint").alias("before"))
+    else:
+        parts = parts.withColumn("base", F.expr(f"sum(n) OVER (PARTITION BY `{key}` ORDER BY part) - n"))
+        numbered = cut.join(parts.select(key, "part", "base"), [key, "part"]).withColumn("i", F.col("base") + F.col("number"))
+        numbered = written(numbered.select(key, "part", "number", "i", "start", "enter", "leave"), "interval-numbered")
+        befores = numbered.select(key, "part", "number", "i").join(scan(numbered, key, gap, most - 1, fan=fan), [key, "i"])
+        known = cut.select(key, "part", "number", "times").join(befores.drop("i"), [key, "part", "number"], "left")
     schema, arrow = _arrow(cut, key, "us bigint")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
