@@ -9,6 +9,8 @@ from larder.plans import audit as au
 from larder.plans import jobs as jb
 from larder.plans import pages as pg
 from larder.session import run_folder, table
+from larder.sources.store import Store
+from larder.streaming import intervals as iv
 from larder.streaming import jobs as st
 
 
@@ -51,16 +53,10 @@ def stream_extract(spark, d):
 def stream_min_interval(spark, d):
     """Events accepted at least a minute after the last accepted one of their user."""
     folder = run_folder(spark, "stream-interval")
-    accepted = st.accept_stream(
-        _stream(spark, d, "events").select("user_id", "ts"), "user_id", "ts"
-    )
-    query = (
-        accepted.writeStream.format("parquet")
-        .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    rows = spark.read.parquet(f"{folder}/rows")
+    events = _stream(spark, d, "events").select("user_id", "ts")
+    store = Store(spark, f"{folder}/state")
+    iv.accept_corrected(events, "user_id", "ts", store, f"{folder}/progress", buckets=8).awaitTermination()
+    rows = iv.accepted_now(store, "user_id", events)
     return rows.select(
         "user_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts")
     )

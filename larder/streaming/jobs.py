@@ -51,10 +51,13 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def accept_stream(
     events: DataFrame, key: str, at: str, gap_seconds: int = fixed.MIN_INTERVAL_SECONDS,
-    late: str = "10 minutes",
+    late: str | None = None,
 ) -> DataFrame:
-    """Accepted events of a stream `(key, at)`. The state of a key is the time of its last accepted
-    event; it is dropped once the watermark says that it can no longer hold anything back.
+    """Accepted events of a stream `(key, at)`, decided at once and for good. The state of a key is the
+    time of its last accepted event. Batches are decided in the order they arrive: an event that comes in
+    a later batch than a newer one is not dropped, but cannot be accepted within the interval any more;
+    `streaming.intervals` corrects what was decided instead. With `late`, a watermark, the state of a key
+    is dropped once it can no longer hold anything back, and so are events older than the watermark.
 
     A task holds the distinct times of one key in one micro-batch, which the source's limit per
     trigger bounds; `intervals.accepted` is the form for a whole history."""
@@ -79,18 +82,16 @@ def accept_stream(
                 last = t
         state.update((last,))
         expiry = (last + gap) // 1000 + 1
-        if expiry > state.getCurrentWatermarkMs():
+        if late and expiry > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(expiry)
         yield pd.DataFrame({key: [name[0]] * len(taken), "us": taken})
 
     timed = events.select(key, F.col(at).cast("timestamp").alias("at")).withColumn(
         "us", F.unix_micros("at")
     )
-    return (
-        timed.withWatermark("at", late)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step, f"{key} {kind}, us bigint", "last bigint", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    if late:
+        timed = timed.withWatermark("at", late)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return timed.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, us bigint", "last bigint", "append", timeout
     )
