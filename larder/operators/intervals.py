@@ -141,18 +141,29 @@ def runs(times: DataFrame, key: str, gap: int, run_rows: int) -> DataFrame:
             yield _rows(out, arrow)
         yield _rows(cut(at, rest, True)[0], arrow)
 
-    ordered = times.select(key, "us").repartitionByRange(key, "us").sortWithinPartitions(key, "us")
+    ordered = times.select(key, "us").repartitionByRange(_tasks(times), key, "us").sortWithinPartitions(key, "us")
     return ordered.mapInArrow(step, schema)
 
 
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column, as views."""
+    values, ends = column.flatten().to_numpy(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return (values[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
 def _functions(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(key, group, i, start, enter, leave, before) of the rows of a batch, in their order."""
-    lists = [batch.column(c) for c in ("enter", "leave")]
+    if not batch.num_rows:
+        return iter(())
     plain = [batch.column(c).to_pylist() for c in (0, "g", "i", "start")]
     befores = batch.column("before").to_pylist() if "before" in batch.schema.names else [None] * batch.num_rows
-    for row, (k, g, i, start) in enumerate(zip(*plain, strict=True)):
-        enter, leave = (np.asarray(x[row].values.to_numpy()) for x in lists)
-        yield k, g, i, start, enter, leave, befores[row]
+    return zip(*plain, lists(batch.column("enter")), lists(batch.column("leave")), befores, strict=True)
+
+
+def _tasks(df: DataFrame) -> int:
+    """The number of shuffle partitions, stated so that they are not merged by their size in bytes: the
+    work on a row costs more than moving it."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _up(level: DataFrame, key: str, gap: int, fan: int) -> DataFrame:
@@ -175,7 +186,7 @@ def _up(level: DataFrame, key: str, gap: int, fan: int) -> DataFrame:
             yield _rows([(*at, start, *now)], arrow)
 
     grouped = level.withColumn("g", F.floor(F.col("i") / fan).cast("bigint"))
-    ordered = grouped.repartition(key, "g").sortWithinPartitions(key, "g", "i")
+    ordered = grouped.repartition(_tasks(level), key, "g").sortWithinPartitions(key, "g", "i")
     return ordered.select(key, "g", "i", "start", "enter", "leave").mapInArrow(step, schema)
 
 
@@ -196,7 +207,7 @@ def _down(level: DataFrame, above: DataFrame, key: str, gap: int, fan: int) -> D
 
     grouped = level.withColumn("g", F.floor(F.col("i") / fan).cast("bigint"))
     known = grouped.join(above.withColumnRenamed("i", "g"), [key, "g"])
-    ordered = known.repartition(key, "g").sortWithinPartitions(key, "g", "i")
+    ordered = known.repartition(_tasks(level), key, "g").sortWithinPartitions(key, "g", "i")
     return ordered.select(key, "g", "i", "start", "enter", "leave", "before").mapInArrow(step, schema)
 
 
@@ -249,10 +260,12 @@ def accepted(
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            times, before = batch.column("times"), batch.column("before").to_pylist()
-            for row, k in enumerate(batch.column(0).to_pylist()):
-                found = taken(times[row].values.to_numpy(), NEVER if before[row] is None else before[row], gap)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), arrow[0].type), pa.array(found)], schema=arrow)
+            if not batch.num_rows:
+                continue
+            before = batch.column("before").fill_null(NEVER).to_pylist()
+            found = [taken(t, b, gap) for t, b in zip(lists(batch.column("times")), before, strict=True)]
+            keys = batch.column(0).take(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([keys.cast(arrow[0].type), pa.array(np.concatenate(found))], schema=arrow)
 
     return known.select(key, "times", "before").mapInArrow(take, schema)
 

@@ -20,44 +20,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from larder.functions import fixed
-from larder.operators.intervals import NEVER, applied, scan, step_function, taken
+from larder.operators.intervals import lists, scan, step_function
 from larder.session import written
 from larder.sources.store import Store
 
 _MARK = "accept"
 
 
-def _mapped(df: DataFrame, columns: str, work) -> DataFrame:
-    """`df` with further columns of arrays or numbers, worked out row by row from its arrays."""
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
-    names = df.columns
+def _functions(spans: DataFrame, gap: int) -> DataFrame:
+    """`spans` with the step function of their times. One time alone is its own function."""
+    single = F.size("times") == 1
+    columns = [F.col("times")[0].alias("start"), F.col("times").alias("enter"), F.col("times").alias("leave")]
+    many = spans.filter(~single)
+    schema = StructType([*spans.schema.fields, *StructType.fromDDL("start bigint, enter array<bigint>, leave array<bigint>").fields])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = {n: batch.column(n) for n in names if pa.types.is_list(batch.schema.field(n).type)}
-            plain = {n: batch.column(n).to_pylist() for n in names if n not in lists}
-            made = []
-            for row in range(batch.num_rows):
-                values = {n: c[row].values.to_numpy() for n, c in lists.items()}
-                made.append(work(values | {n: c[row] for n, c in plain.items()}))
-            more = [pa.array([m[k] for m in made]) for k in range(len(schema) - len(names))]
-            if not made:
-                continue
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+            if batch.num_rows:
+                made = [(t[0], *step_function(t, gap)) for t in lists(batch.column("times"))]
+                more = [pa.array(list(c)) for c in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    return df.mapInArrow(step, schema)
+    return spans.filter(single).select("*", *columns).unionByName(many.mapInArrow(step, schema))
 
 
-def _longs(values: np.ndarray) -> np.ndarray:
-    return np.asarray(values, dtype=np.int64)
+def _after(gap: int) -> Column:
+    """The last accepted time after the function (enter, leave) and `before`."""
+    steps = F.filter(F.arrays_zip("enter", "leave"), lambda s: s["enter"] >= F.col("before") + gap)
+    return F.coalesce(F.get(steps, F.lit(0))["leave"], F.col("before"))
+
+
+def _accepted(gap: int) -> Column:
+    """The times accepted after `before`."""
+    begin = F.struct(F.col("before").alias("last"), F.array().cast("array<bigint>").alias("got"))
+    folded = F.aggregate("times", begin, lambda now, t: F.when(
+        t >= now["last"] + gap, F.struct(t.alias("last"), F.concat(now["got"], F.array(t)).alias("got"))
+    ).otherwise(now))
+    return folded["got"]
 
 
 def apply_batch(
@@ -74,9 +80,9 @@ def apply_batch(
 
     times = batch.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).filter(
         F.col(key).isNotNull() & F.col("us").isNotNull()
-    ).distinct()
+    )
     fresh = times.withColumn("epoch", F.floor(F.col("us") / F.lit(width)).cast("bigint")).groupBy(key, "epoch").agg(
-        F.collect_list("us").alias("more")
+        F.collect_set("us").alias("more")
     )
     fresh = written(fresh.select("*", identity), "accept-fresh")
     if fresh.isEmpty():
@@ -90,13 +96,7 @@ def apply_batch(
         "id", key, "epoch", F.sort_array(F.array_distinct(F.concat(F.coalesce("times", none), "more"))).alias("times")
     )
 
-    def function(row: dict) -> tuple:
-        enter, leave = step_function(_longs(row["times"]), gap)
-        return int(row["times"][0]), enter, leave
-
-    touched = written(
-        _mapped(merged, "start bigint, enter array<bigint>, leave array<bigint>", function), "accept-touched"
-    )
+    touched = written(_functions(merged, gap), "accept-touched")
 
     # 2. the functions of its keys from the first touched epoch on
     low = touched.groupBy(key).agg(F.min("epoch").alias("low"))
@@ -114,20 +114,14 @@ def apply_batch(
     found = sequence.join(scan(sequence, key, gap, top, first), [key, "i"])
 
     # 3. what has to be taken anew
-    changed = _mapped(
-        found.filter("hit OR before <> was").select(*columns, "hit", "before"), "after bigint",
-        lambda row: (int(applied(_longs(row["enter"]), _longs(row["leave"]), row["before"], gap)),),
-    )
+    changed = found.filter("hit OR before <> was").select(*columns, "hit", "before", _after(gap).alias("after"))
     changed = written(changed, "accept-changed")
     untouched = changed.filter("NOT hit")
     stored = store.matching("spans", changed, base)
     held = touched.select("id", "times")
     if stored is not None:
         held = held.unionByName(stored.join(untouched.select("id"), "id", "left_semi").select("id", "times"))
-    spans = _mapped(
-        changed.select("id", key, "epoch", "before").join(held, "id"), "accepted array<bigint>",
-        lambda row: (taken(_longs(row["times"]), row["before"], gap),),
-    )
+    spans = changed.select("id", key, "epoch", "before").join(held, "id").withColumn("accepted", _accepted(gap))
     spans = written(spans, "accept-spans")
 
     # 4. the corrections
