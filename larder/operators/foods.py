@@ -10,13 +10,14 @@ from larder.operators.nutrition import portion_measure, portion_weights
 from larder.operators.shaping import first_per, top_per
 
 
-def candidates(
-    terms: DataFrame, foods: DataFrame, per_term: int = fixed.CANDIDATES_PER_TERM
-) -> DataFrame:
-    """The first `per_term` foods for every distinct term.
+def _tightest() -> list[Column]:
+    """Foods with the fewest further words first, then the shortest description."""
+    return [F.size("food_words").asc(), F.length("description").asc(), F.col("fdc_id").asc()]
 
-    `terms(term)`; `foods(fdc_id, description, ...)`. A food is a candidate when its description
-    has every word of the term; those with the fewest further words come first (`api_rank`).
+
+def matches(terms: DataFrame, foods: DataFrame) -> DataFrame:
+    """Every distinct term with every food whose description has all of its words, and those words
+    (`food_words`). `terms(term)`; `foods(fdc_id, description, ...)`.
 
     Each term meets the foods on its rarest word only, so a word found in a third of all foods is
     never joined on by a term that has any rarer one, and the other words are tested on the pair.
@@ -41,10 +42,15 @@ def candidates(
     pairs = rarest.join(index, "word").filter(
         F.size(F.array_except("term_words", "food_words")) == 0
     )
-    order = [F.size("food_words").asc(), F.length("description").asc(), F.col("fdc_id").asc()]
-    return top_per(pairs, ["term"], order, per_term, "api_rank").drop(
-        "word", "term_words", "food_words"
-    )
+    return pairs.drop("word", "term_words")
+
+
+def candidates(
+    terms: DataFrame, foods: DataFrame, per_term: int = fixed.CANDIDATES_PER_TERM
+) -> DataFrame:
+    """The first `per_term` matching foods of every term as a list of search results would show them;
+    those with the fewest further words come first (`api_rank`). `best_foods` looks at all of them."""
+    return top_per(matches(terms, foods), ["term"], _tightest(), per_term, "api_rank").drop("food_words")
 
 
 def is_low_calorie(term: Column) -> Column:
@@ -72,8 +78,8 @@ def candidate_score(term: Column, description: Column, data_type: Column, energy
     return match + source.otherwise(0) - F.length(d) - F.when(no_energy, 200).otherwise(0)
 
 
-def pick(found: DataFrame) -> DataFrame:
-    """The best candidate of every term.
+def pick(found: DataFrame, ties: list[Column] | None = None) -> DataFrame:
+    """The best candidate of every term, by `ties` (`api_rank`) among equals.
 
     Unbranded foods before branded, unprocessed before processed unless the term asks for it, then
     the best score; among those a food with energy before one without unless the term is a
@@ -91,11 +97,17 @@ def pick(found: DataFrame) -> DataFrame:
         ),
     )
     order = [
-        branded.asc(), unwanted.asc(), energetic.desc(), F.desc("score"), F.asc("api_rank")
+        branded.asc(), unwanted.asc(), energetic.desc(), F.desc("score"), *(ties or [F.asc("api_rank")])
     ]
     return first_per(scored, ["term"], order)
 
 
+def best_foods(terms: DataFrame, foods: DataFrame) -> DataFrame:
+    """The best food of every term among all that match it; none is left out before it is scored.
+    The ranking is cut to one food per term in every task before the shuffle."""
+    return pick(matches(terms, foods), _tightest()).drop("food_words")
+
+
 def nutrient_record(amounts: DataFrame, key: str = "fdc_id") -> DataFrame:
     """Long `(key, seq, nutrient_id, amount)` to one row with the ten nutrients; of repeated ids
     the first by `seq`, missing ones 0."""
@@ -142,5 +154,5 @@ def food_records(amounts: DataFrame, portions: DataFrame) -> DataFrame:
 
 def term_nutrition(terms: DataFrame, foods: DataFrame, amounts: DataFrame, portions: DataFrame) -> DataFrame:
     """`(term, fdc_id, nutrition)` of the best food per term. `foods` carries `energy`."""
-    best = pick(candidates(terms, foods)).select("term", "fdc_id")
+    best = best_foods(terms, foods).select("term", "fdc_id")
     return best.join(food_records(amounts, portions), "fdc_id")

@@ -324,8 +324,8 @@ def _terms(spark, d):
 
 
 def food_pick(spark, d):
-    best = fd.pick(fd.candidates(_terms(spark, d), _foods(spark, d)))
-    return best.select("term", "fdc_id", "description", "data_type", "energy", "score", "api_rank")
+    best = fd.best_foods(_terms(spark, d), _foods(spark, d))
+    return best.select("term", "fdc_id", "description", "data_type", "energy", "score")
 
 
 _FOODS_SQL = """
@@ -352,15 +352,14 @@ def _pick_sql() -> str:
     WITH {_FOODS_SQL},
     fw AS (SELECT *, list_distinct({words('description')}) AS fw FROM f),
     tw AS (SELECT *, list_distinct({words('term')}) AS tw FROM t),
-    c AS (SELECT term, fdc_id, description, data_type, energy, row_number() OVER (PARTITION BY term
-      ORDER BY len(fw), length(description), fdc_id) AS api_rank
+    c AS (SELECT term, fdc_id, description, data_type, energy, len(fw) AS words
       FROM tw JOIN fw ON len(list_intersect(tw, fw)) = len(tw)),
     s AS (SELECT *, lower(description) AS low_d,
       data_type = 'Branded' AS branded,
       NOT regexp_matches(term, '(?i){fixed.PROCESSED_FOOD}')
         AND regexp_matches(description, '(?i){fixed.PROCESSED_FOOD}') AS unwanted,
       {low} AS low_cal
-      FROM c WHERE api_rank <= 5),
+      FROM c),
     a AS (SELECT *, min(branded) OVER (PARTITION BY term) AS only_branded FROM s),
     b AS (SELECT *, min(unwanted) OVER (PARTITION BY term) AS only_unwanted FROM a
       WHERE NOT branded OR only_branded),
@@ -373,9 +372,9 @@ def _pick_sql() -> str:
         AS score
       FROM b WHERE NOT unwanted OR only_unwanted),
     w AS (SELECT *, row_number() OVER (PARTITION BY term
-      ORDER BY CASE WHEN low_cal OR energy > 0 THEN 0 ELSE 1 END, score DESC, api_rank) AS rn FROM g)
-    SELECT term, fdc_id, description, data_type, energy, score, CAST(api_rank AS INTEGER) AS api_rank
-    FROM w WHERE rn = 1"""
+      ORDER BY CASE WHEN low_cal OR energy > 0 THEN 0 ELSE 1 END, score DESC, words,
+        length(description), fdc_id) AS rn FROM g)
+    SELECT term, fdc_id, description, data_type, energy, score FROM w WHERE rn = 1"""
 
 
 _EVENT_NUTRIENT = {"click": 1008, "view": 1003, "error": 1089, "signup": 2000, "purchase": 1162}

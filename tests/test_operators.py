@@ -309,6 +309,16 @@ def test_candidates_are_the_tightest(spark):
     assert got[0] == (1, 0)
 
 
+def test_no_food_is_left_out_before_it_is_scored(spark):
+    many = [(i, "Milk", "Branded", 60.0) for i in range(6)] + [(9, "Milk, whole, with added vitamin D", "SR Legacy", 61.0)]
+    df = spark.createDataFrame(many + _foods(spark).collect(), _foods(spark).schema)
+    terms = spark.createDataFrame([("milk",), ("milk",), ("butter",), ("none",), (None,)], "term string")
+    best = foods.best_foods(terms, df)
+    assert dict(rows(best, "term", "fdc_id")) == {"milk": 9, "butter": 1}
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_full_nutrition_run(spark):
     recipes = spark.createDataFrame(
         [("r1", ["2 cups butter", "1 large egg", "unknown stuff"]), ("r2", ["100 g butter"]), ("r3", [])],
