@@ -10,7 +10,7 @@ from larder.operators import catalog, shaping
 from larder.operators.shaping import spread
 from larder.session import table
 
-_NOW = "2024-06-01 00:00:00"
+NOW = "2024-06-01 00:00:00"
 
 
 def quality_score(spark, d):
@@ -30,7 +30,7 @@ def quality_score(spark, d):
     return rows.select("doc_id", score.alias("score"))
 
 
-def _recipes(spark, d, docs=None):
+def recipes(spark, d, docs=None):
     """Documents as recipes, their labels deciding what is missing."""
     if docs is None:
         docs = spread(
@@ -65,7 +65,7 @@ def _recipes(spark, d, docs=None):
     )
 
 
-def _checks(spark, d):
+def checks(spark, d):
     docs = table(spark, d, "documents", ["source", "lang"])
     return docs.select(
         F.concat(F.lit("https://img.example/"), "source", F.lit(".jpg")).alias("url"),
@@ -73,14 +73,14 @@ def _checks(spark, d):
     ).distinct()
 
 
-def _nutrition(spark, d):
+def nutrition(spark, d):
     docs = table(spark, d, "documents", ["text", "lang"]).filter(F.col("lang").isin("en", "es"))
     return docs.groupBy(F.split_part("text", F.lit("\n"), F.lit(1)).alias("name")).agg(
         F.struct(F.max(F.length("text")).cast("double").alias("calories")).alias("nutrition")
     )
 
 
-def _jobs(spark, d):
+def jobs(spark, d):
     """Crawl jobs of the labelled documents."""
     docs = table(spark, d, "documents", ["doc_id", "n_chars"])
     seen = table(spark, d, "labels", ["doc_id", "quality", "toxic"])
@@ -107,8 +107,8 @@ def _jobs(spark, d):
 
 def audited(spark, d, docs=None):
     return a.audit(
-        _recipes(spark, d, docs), _checks(spark, d), _nutrition(spark, d), _jobs(spark, d),
-        F.lit(_NOW).cast("timestamp_ntz"),
+        recipes(spark, d, docs), checks(spark, d), nutrition(spark, d), jobs(spark, d),
+        F.lit(NOW).cast("timestamp_ntz"),
     )
 
 
@@ -125,9 +125,8 @@ def audit_decision(spark, d):
 
 
 def audit_write_back(spark, d):
-    recipes = _recipes(spark, d)
     done = audited(spark, d).filter(F.col("qa_status") == "quarantined")
-    return a.write_back(recipes, done).select("id", "qa_status", "quality_score", "image")
+    return a.write_back(recipes(spark, d), done).select("id", "qa_status", "quality_score", "image")
 
 
 def audit_reschedule(spark, d):
@@ -147,7 +146,7 @@ def audit_reschedule(spark, d):
     marked = state.withColumn("retries", retries).withColumn(
         "schedule", ~F.coalesce("job_open", F.lit(False)) & (retries < fixed.MAX_RETRIES)
     )
-    out = a.recrawl_jobs(marked, F.lit(_NOW).cast("timestamp_ntz"))
+    out = a.recrawl_jobs(marked, F.lit(NOW).cast("timestamp_ntz"))
     return out.select("url", "status", "retry_count", "created_at", "is_archived")
 
 
@@ -227,6 +226,14 @@ _RECIPES_SQL = """
         WHEN image = '' OR NOT ok OR n_chars <= 300 THEN 'flagged' ELSE 'verified' END AS status
       FROM s)"""
 
+#: The recipes as they are before an audit.
+RECIPES_BEFORE_SQL = f"""
+    WITH {_RECIPES_SQL}
+    SELECT id, doc_id % 7 = 0 AS done, CASE WHEN quality = 1 THEN 1.0::DOUBLE END AS calories,
+      CASE WHEN toxic = 1 THEN '' WHEN lang = 'en' THEN plain WHEN lang = 'de' THEN ' {{"url": "' || plain || '"}}'
+        WHEN lang = 'fr' THEN '{{"url": "", "contentUrl": "' || plain || '"}}' ELSE image END AS image
+    FROM v"""
+
 QUERIES = {
     "quality_score": (
         quality_score,
@@ -248,7 +255,7 @@ QUERIES = {
         SELECT id, CASE WHEN toxic = 1 THEN ''
             WHEN lang IN ('en') THEN plain WHEN lang IN ('de', 'fr') THEN plain
             ELSE image END AS image,
-          status AS qa_status, score AS quality_score, TIMESTAMP '{_NOW}' AS last_audited_at,
+          status AS qa_status, score AS quality_score, TIMESTAMP '{NOW}' AS last_audited_at,
           concat_ws(' ',
             CASE WHEN repaired THEN 'Auto-repaired image URL from JSON object.' END,
             CASE WHEN image <> '' AND NOT ok THEN 'Image URL failed validation: ' || image END,
@@ -287,7 +294,7 @@ QUERIES = {
             FILTER (o_orderstatus <> 'O') AS retries
           FROM orders GROUP BY o_custkey)
         SELECT CAST(c_custkey AS VARCHAR) AS url, 'pending' AS status,
-          coalesce(retries, 0) + 1 AS retry_count, TIMESTAMP '{_NOW}' AS created_at,
+          coalesce(retries, 0) + 1 AS retry_count, TIMESTAMP '{NOW}' AS created_at,
           false AS is_archived
         FROM customer LEFT JOIN j ON c_custkey = o_custkey
         WHERE coalesce(open_jobs, 0) = 0 AND coalesce(retries, 0) < 3""",
