@@ -260,15 +260,22 @@ def _lowest(solutions: DataFrame, many: int) -> DataFrame:
     return ranked.filter(F.col("r") <= many).withColumn("s", F.col("r").cast("int")).drop("r")
 
 
+def subsets(rows: DataFrame, subset: int) -> DataFrame:
+    """`rows` with `part`: the subset of about `subset` rows of its group that a row is in, each in one
+    task. A join that deals by the group alone would satisfy a grouping by (g, part) and hold all subsets
+    of a group in one task; with the number of partitions stated, Spark does not fold this into it."""
+    many = rows.groupBy("g").agg(F.ceil(F.count("*") / subset).alias("k"))
+    dealt = rows.join(many, "g").withColumn("part", F.pmod(F.xxhash64("h"), F.col("k"))).drop("k")
+    return dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "part")
+
+
 def estimates(
     rows: DataFrame, subset: int = 1000, starts: int = 20, carried: int = 2, steps: int = 3, prior_rows: float = 30.0,
 ) -> DataFrame:
     """MCD estimate (g, mean, cov) of every group `g` over its vectors `x`; `h` is a hash that deals
     and orders the rows."""
     prior = _prior(rows)
-    many = rows.groupBy("g").agg(F.ceil(F.count("*") / subset).alias("k"))
-    dealt = rows.join(many, "g").withColumn("part", F.pmod(F.xxhash64("h"), F.col("k")))
-    found = dealt.groupBy("g", "part").applyInPandas(
+    found = subsets(rows, subset).groupBy("g", "part").applyInPandas(
         _search(prior, prior_rows, starts, carried, float(subset)), _SOLUTION
     )
     solutions = written(_lowest(found, carried), "mcd-starts")
@@ -300,8 +307,10 @@ def verdicts(
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, whole, whose verdict is to keep. The verdict goes with a hash of the row's
     own text, language and source, so repeated and null ids do no harm."""
-    key = F.xxhash64(text_col, "lang", "source").alias("_key")
-    keyed = docs.select("*", key)
-    found = verdicts(keyed.select("_key", text_col, "lang", "source"), "_key", text_col, **options)
-    good = found.filter("kept").select("_key").distinct()
-    return keyed.join(good, "_key", "left_semi").select(*docs.columns)
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.select("*", F.xxhash64(text_col, "lang", "source").alias(name))
+    found = verdicts(keyed.select(name, text_col, "lang", "source"), name, text_col, **options)
+    good = found.filter("kept").select(name).distinct()
+    return keyed.join(good, name, "left_semi").select(*docs.columns)

@@ -1,6 +1,7 @@
 """Copies of one text neither gather in one subset nor make the others of their source outliers."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,26 @@ def test_stage_and_query_agree_on_equal_rows(spark):
     by_row = quality.verdicts(docs.withColumn("row", F.monotonically_increasing_id()).persist(), "row")
     assert by_row.count() == docs.count()
     assert quality.keep_good(docs).count() == by_row.filter("kept").count()
+
+
+def test_subsets_of_a_group_are_dealt_out(spark):
+    """Whether the sizes are joined by broadcast or by a shuffle on the group."""
+    rows = spark.range(5000).select(
+        F.lit("g").alias("g"), F.array(*(F.rand(i) for i in range(quality.DIMENSIONS))).alias("x"), F.col("id").alias("h")
+    )
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            plan = quality.subsets(rows, 1000)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "REPARTITION_BY_NUM" in plan and re.search(r"hashpartitioning\(g(#\d+)?, part#", plan)
+    spread = quality.subsets(rows, 1000).select("part", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in spread}) > 1 and len({r.part for r in spread}) == len(spread) == 5
+
+
+def test_a_column_named_like_the_key_is_kept(spark):
+    text = " ".join(VOCABULARY * 3)
+    docs = spark.createDataFrame([(i, text + f" {i}", "en", "s", "mine") for i in range(12)], SCHEMA + ", _key string")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r["_key"] for r in kept.collect()} <= {"mine"}
