@@ -22,7 +22,9 @@ kept by `redact` and not read by `find`.
 
 from __future__ import annotations
 
+import bisect
 import ipaddress
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -242,16 +244,15 @@ def refused(kind: str, text: str, start: int, end: int) -> bool:
 def examples(text: str) -> list[tuple[float, list[float]]]:
     """(label, features) of the candidates of a text that a check decides and of its respelt base spans."""
     base = base_spans(text)
-    found = candidates(text)
+    known, taken = set(base), Cover(base)
     out = []
-    for kind, start, end in found:
-        mates = [s for s in base if s[1] < end and start < s[2]]
-        if not mates:
+    for kind, start, end in candidates(text):
+        if (kind, start, end) in known:
+            out.append((1.0, features(text, kind, start, end)))
+        elif not taken.meets(start, end):
             true = passes(kind, text[start:end])
             if true or refused(kind, text, start, end):
                 out.append((float(true), features(text, kind, start, end)))
-        elif any(s[0] == kind and s[1:] == (start, end) for s in mates):
-            out.append((1.0, features(text, kind, start, end)))
     for kind, start, end in base:
         before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
         for label, made in ((1.0, _respelt), (0.0, _broken)):
@@ -262,6 +263,18 @@ def examples(text: str) -> list[tuple[float, list[float]]]:
     return out
 
 
+class Cover:
+    """Spans sorted by their start, with the furthest end up to each: one bisection finds an overlap."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts = [s[1] for s in spans]
+        self.reach = list(itertools.accumulate((s[2] for s in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect.bisect_left(self.starts, end)
+        return at > 0 and self.reach[at - 1] > start
+
+
 class Selector:
     """Trees, calibration and threshold; gives the spans that go beyond the base ones."""
 
@@ -269,28 +282,27 @@ class Selector:
         self.trees, self.knots, self.values, self.precision = trees, knots, values, precision
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-        found = [
-            c for c in candidates(text) if not any(b[1] < c[2] and c[1] < b[2] for b in _near(base, c))
-        ]
+        covered = Cover(base)
+        found = [c for c in candidates(text) if not covered.meets(*c[1:])]
         if not found:
             return []
         margin = self.trees.margin(np.array([features(text, *c) for c in found]))
         share = boosting.calibrated(margin, self.knots, self.values)
         taken: list[tuple[str, int, int, float]] = []
+        starts: list[int] = []  # of the taken spans, which do not overlap, and their ends
+        ends: list[int] = []
         for i in np.lexsort((np.arange(len(found)), -margin)):
+            if share[i] < self.precision:
+                continue
             kind, start, end = found[i]
-            if share[i] >= self.precision and all(end <= t[1] or t[2] <= start for t in taken):
+            at = bisect.bisect_left(starts, end)
+            if not at or ends[at - 1] <= start:
+                starts.insert(at, start)
+                ends.insert(at, end)
                 taken.append((kind, start, end, float(share[i])))
         return taken
 
 
-def _near(base: list[tuple[str, int, int]], c: tuple[str, int, int]) -> list[tuple[str, int, int]]:
-    """Base spans that may reach a candidate; they are sorted by their start."""
-    import bisect
-
-    return base[: bisect.bisect_left(base, c[2], key=lambda b: b[1])]
-
-
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98,
     sample_docs: int = 20_000, sample_candidates: int = 30_000,
