@@ -7,12 +7,13 @@ of the assistant are to be learned; `loss` says where they are.
 
 The two sides are matched turn by turn (an equality join on pair and turn, so that a pair with a
 third of all turns spreads), the first difference of a pair is a partial minimum, and rendered
-turns are gathered in parts of `PART` turn numbers: part p of a pair holds the turns numbered
-p * PART and up, so no group grows with the length of a conversation. Usual conversations have one
-part. The texts of a pair in the order of its parts are the whole prompt and completions.
+turns are gathered in parts of `PART` places: part p of a pair holds the places p * PART and up, a
+place being the number of turns of either side that come before. So no list grows with the length
+of a conversation, nor with turns of null or equal number. Usual conversations have one part. The
+texts of a pair in the order of its parts are the whole prompt and completions.
 
 Repeated rows count once. Turns of equal number come in the order of role and text. A null turn
-number comes before all others. A null role is `unknown`, a null text is empty. Rows without a pair are left out. A pair that has one
+number counts as -1. A null role is `unknown`, a null text is empty. Rows without a pair are left out. A pair that has one
 side only has no prompt; two equal sides are all prompt and have empty completions. Empty tables
 give no rows; extra columns are not read.
 """
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.session import written
+
 PART = 256
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -53,6 +56,24 @@ def common_prefix(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return both.join(splits, "pair", "left").withColumn("common", inside).drop("_same", "_split")
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """The matched turns of `common_prefix` with `place`: how many turns of the pair come before.
+
+    Turn numbers are counted first and summed in runs of `PART` numbers, so that windows hold a run or
+    the runs of a pair, and no texts."""
+    sizes = found.groupBy("pair", "turn").agg(F.max("n").alias("_size")).withColumn("_run", F.floor(F.col("turn") / PART))
+    runs = sizes.groupBy("pair", "_run").agg(F.sum("_size").alias("_sum"))
+
+    def before(keys: list[str], order: str, value: str) -> Column:
+        rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(rows), F.lit(0))
+
+    bases = runs.select("pair", "_run", before(["pair"], "_run", "_sum").alias("_base"))
+    starts = sizes.withColumn("_in", before(["pair", "_run"], "turn", "_size")).join(bases, ["pair", "_run"])
+    starts = starts.select("pair", "turn", (F.col("_base") + F.col("_in")).alias("_start"))
+    return found.join(starts, ["pair", "turn"]).withColumn("place", F.col("_start") + F.col("n") - 1).drop("_start")
+
+
 def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_id") -> DataFrame:
     """One row per pair and part, for conversations (pair, turn, role, text): `prompt_turns`, `prompt`,
     `chosen`, `rejected`, and `chosen_loss`, `rejected_loss`: the code points [start, end) of the
@@ -65,9 +86,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_i
         learn = F.col(f"{side}_role") == "assistant"
         return F.when(F.col(f"{side}_role").isNotNull(), F.struct("turn", "n", head.alias("head"), body.alias("body"), learn.alias("learn")))
 
-    part = F.floor(F.col("turn") / PART).cast("bigint")
-    sides = found.select(
-        F.col("pair"), part.alias("part"), F.when(F.col("common"), rendered("c")).alias("prompt"),
+    sides = placed(found).select(
+        F.col("pair"), F.floor(F.col("place") / PART).cast("bigint").alias("part"), F.when(F.col("common"), rendered("c")).alias("prompt"),
         F.when(~F.col("common"), rendered("c")).alias("chosen"), F.when(~F.col("common"), rendered("r")).alias("rejected"),
     )
     lists = sides.groupBy("pair", "part").agg(
@@ -96,20 +116,36 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_i
     )
 
 
-def rejected_by_neighbour(conversations: DataFrame, bucket: int = 64) -> DataFrame:
+def following(cuts: DataFrame) -> DataFrame:
+    """`cuts` (conv_id, cut) with `other` and `other_cut` of the next conversation by id over the whole
+    table, the first one after the last.
+
+    The ids are dealt by ranges and written with the number of their range, so that a lost task finds
+    the same ranges again. Inside a range the next row follows by a window; the last row of a range takes
+    the first of the next one, from a table of one row per range.
+    """
+    dealt = written(cuts.repartitionByRange("conv_id").withColumn("_range", F.spark_partition_id()), "pref-ranges")
+    inside = Window.partitionBy("_range").orderBy("conv_id")
+    row = F.struct("conv_id", "cut")
+    heads = dealt.groupBy("_range").agg(F.min(row).alias("_head"))
+    # as many rows as ranges, whatever the number of conversations
+    after = Window.orderBy("_range")
+    first = F.min("_head").over(Window.partitionBy())
+    heads = heads.select("_range", F.coalesce(F.lead("_head").over(after), first).alias("_head"))
+    linked = dealt.withColumn("_next", F.lead(row).over(inside)).join(heads, "_range")
+    chosen = F.coalesce("_next", "_head")
+    return linked.select("conv_id", "cut", chosen["conv_id"].alias("other"), chosen["cut"].alias("other_cut"))
+
+
+def rejected_by_neighbour(conversations: DataFrame) -> DataFrame:
     """Rejected conversations (conv_id, turn, role, text) where none are given: each conversation with
-    its last assistant turn, and what follows, replaced by that of the next conversation. The next is
-    by id among at most `bucket` neighbouring ids, the first of them after the last."""
+    its last assistant turn, and what follows, replaced by that of the next conversation by id. The
+    first one comes after the last; a conversation alone in its table is its own neighbour."""
     rows = conversations.filter("conv_id IS NOT NULL").select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), "role", "text")
     cuts = rows.groupBy("conv_id").agg(
         F.coalesce(F.max(F.when(F.col("role") == "assistant", F.col("turn"))), F.max("turn") + 1).alias("cut")
     )
-    near = Window.partitionBy(F.floor(F.col("conv_id") / bucket)).orderBy("conv_id")
-    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pairs = cuts.select(
-        "conv_id", "cut", F.coalesce(F.lead("conv_id").over(near), F.first("conv_id").over(whole)).alias("other"),
-        F.coalesce(F.lead("cut").over(near), F.first("cut").over(whole)).alias("other_cut"),
-    )
+    pairs = following(cuts)
     kept = rows.join(pairs.select("conv_id", "cut"), "conv_id").filter("turn < cut").select("conv_id", "turn", "role", "text")
     taken = rows.withColumnRenamed("conv_id", "other").join(pairs, "other").filter("turn >= other_cut").select(
         "conv_id", (F.col("turn") - F.col("other_cut") + F.col("cut")).alias("turn"), "role", "text"

@@ -58,8 +58,8 @@ WITH t AS (
   SELECT conv_id, coalesce(max(CASE WHEN role = 'assistant' THEN turn END), max(turn) + 1) AS cut FROM t GROUP BY conv_id
 ), pairs AS (
   SELECT conv_id, cut,
-    coalesce(lead(conv_id) OVER w, min(conv_id) OVER (PARTITION BY conv_id // 64)) AS other
-  FROM cuts WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id)
+    coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other
+  FROM cuts
 ), r AS (
   SELECT t.conv_id, turn, role, text FROM t JOIN cuts USING (conv_id) WHERE turn < cut
   UNION
@@ -73,13 +73,14 @@ j AS (
     coalesce(tn.role = rn.role AND tn.text = rn.text, false) AS same
   FROM tn FULL JOIN rn ON tn.conv_id = rn.conv_id AND tn.turn = rn.turn AND tn.n = rn.n
 ), c AS (
-  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn, n) = 0 AS common FROM j
+  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER w = 0 AS common, (row_number() OVER w - 1) // 256 AS part
+  FROM j WINDOW w AS (PARTITION BY conv_id ORDER BY turn, n)
 ), sides AS (
-  SELECT conv_id, turn, n, CASE WHEN common THEN 'p' ELSE 'c' END AS side, c_role AS role, c_text AS text FROM c WHERE c_role IS NOT NULL
+  SELECT conv_id, turn, n, part, CASE WHEN common THEN 'p' ELSE 'c' END AS side, c_role AS role, c_text AS text FROM c WHERE c_role IS NOT NULL
   UNION ALL
-  SELECT conv_id, turn, n, 'r', r_role, r_text FROM c WHERE r_role IS NOT NULL AND NOT common
+  SELECT conv_id, turn, n, part, 'r', r_role, r_text FROM c WHERE r_role IS NOT NULL AND NOT common
 ), drawn AS (
-  SELECT *, CAST(floor(turn / 256) AS BIGINT) AS part, '<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) AS head,
+  SELECT *, '<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) AS head,
     replace(text, '<|im_', '<| im_') || '<|im_end|>' AS body FROM sides
 ), placed AS (
   SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, side ORDER BY turn, n)
@@ -124,9 +125,10 @@ def op7_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_warc_index(spark: SparkSession, d: str) -> DataFrame:
-    """Every page written to an archive, indexed, and read back through the index."""
-    archive = warc.build_index(warc.write(table(spark, d, "pages", ["page_id", "url", "html"])))
-    return warc.read(archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page written to an archive, indexed, and found again by the key of its url."""
+    pages = table(spark, d, "pages", ["page_id", "url", "html"])
+    archive = warc.build_index(warc.write(pages))
+    return warc.lookup(archive, pages, payload=False, every=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_source_schedule(spark: SparkSession, d: str) -> DataFrame:

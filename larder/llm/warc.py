@@ -34,6 +34,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -307,17 +308,24 @@ def _fetched(places: DataFrame, payload: bool) -> DataFrame:
 
 
 def read(archive: Archive, payload: bool = True) -> DataFrame:
-    """All records, found through the index and read by range, in runs of `READ_BYTES` of a file."""
-    total = archive.captures.agg(F.sum("length")).first()[0] or 0
-    tasks = max(archive.captures.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
-    run = F.floor(F.col("offset") / READ_BYTES)
-    spread = _places(archive).repartition(int(tasks), F.col("file"), run).sortWithinPartitions("file", "offset")
-    found = _fetched(spread, payload)
+    """All records, from every block of the index in order, read by range."""
+    found = _fetched(_spread(_places(archive), archive.captures), payload)
     return found if payload else found.drop("payload")
 
 
-def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payload: bool = True) -> DataFrame:
-    """The records whose url has the key of one of `urls`; each record once."""
+def _spread(places: DataFrame, captures: DataFrame) -> DataFrame:
+    """Places dealt in runs of `READ_BYTES` of a file, in the order of the file; `captures` bound them."""
+    total = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    run = F.floor(F.col("offset") / READ_BYTES)
+    return places.repartition(int(tasks), F.col("file"), run).sortWithinPartitions("file", "offset")
+
+
+def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payload: bool = True, every: bool = False) -> DataFrame:
+    """The records whose url has the key of one of `urls`; each record once. The distinct keys are
+    dealt to the range partitions they can lie in and searched by halves in the sparse directory; the
+    blocks found are unpacked and their records read by range. `every` states that `urls` has the key
+    of every capture: the places found are counted back, and a different number is an error."""
     if archive.parts is None:
         raise ValueError("build the index first")
     # one row per range partition: as many as the sort had, however many captures there are
@@ -348,9 +356,17 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payload: boo
                 while at < len(directory) and directory[at][0] <= key:
                     if block != at:
                         block, lines = at, _unpacked(_load(tops[part]["blocks"], *directory[at][2:]))
-                    yield _rows([tuple(r[1:]) for r in lines if r[0] == key], _PLACE)
+                    low = bisect.bisect_left(lines, key, key=itemgetter(0))
+                    high = bisect.bisect_right(lines, key, low, key=itemgetter(0))
+                    yield _rows([tuple(r[1:]) for r in lines[low:high]], _PLACE)
                     at += 1
 
     keys = urls.select(url_col).mapInArrow(route, asked).distinct()
     places = keys.repartition("part").sortWithinPartitions("part", "key").mapInArrow(search, _PLACE)
-    return _fetched(places.repartition("file").sortWithinPartitions("file", "offset"), payload)
+    if every:
+        places = written(places, "warc-places")
+        found, captured = places.count(), archive.captures.count()
+        if found != captured:
+            raise ValueError(f"the search found {found} of {captured} captures")
+    found = _fetched(_spread(places, places if every else archive.captures), payload)
+    return found if payload else found.drop("payload")

@@ -48,6 +48,44 @@ def test_long_conversation_in_parts(spark):
     assert "".join(r.rejected for r in got) == draw([r[2:] for r in other[600:]])[0]
 
 
+def neighbours(ids):
+    ids = sorted(ids)
+    return dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
+def test_next_conversation_over_the_whole_table(spark):
+    """Sparse ids of every sign over several ranges: the true next id, the first after the last."""
+    ids = [n * n * 1000 * (-1) ** n for n in range(300)]
+    cuts = spark.createDataFrame([(i, i % 7) for i in ids], "conv_id bigint, cut bigint").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = preferences.following(cuts).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.conv_id: r.other for r in got} == neighbours(ids) and len(got) == 300
+    assert all(r.cut == r.conv_id % 7 and r.other_cut == r.other % 7 for r in got)
+
+
+def test_rejected_side_of_sparse_ids(spark):
+    rows = [(i, t, "user" if t == 0 else "assistant", f"{i}-{t}") for i in (0, 1000, 2000) for t in (0, 1)]
+    talks = frame(spark, rows)
+    got = {r.conv_id: r for r in preferences.format_pairs(talks, preferences.rejected_by_neighbour(talks), "conv_id").collect()}
+    for i, other in ((0, 1000), (1000, 2000), (2000, 0)):
+        assert got[i].prompt == draw([("user", f"{i}-0")])[0]
+        assert got[i].chosen == draw([("assistant", f"{i}-1")])[0]
+        assert got[i].rejected == draw([("assistant", f"{other}-1")])[0]
+
+
+def test_turns_of_null_and_equal_number_come_in_bounded_parts(spark):
+    chosen = [(1, None, "user", f"n{i:04d}") for i in range(1000)] + [(1, 5, "user", f"e{i:04d}") for i in range(700)] + [(1, 900, "assistant", "end")]
+    rejected = chosen[:-1] + [(1, 900, "assistant", "other")]
+    found = preferences.format_pairs(frame(spark, chosen), frame(spark, rejected), "conv_id")
+    got = sorted(found.collect(), key=lambda r: r.part)
+    assert [r.part for r in got] == list(range(7)) and max(r.prompt_turns for r in got) == preferences.PART
+    assert "".join(r.prompt for r in got) == draw([r[2:] for r in chosen[:-1]])[0]
+    assert "".join(r.rejected for r in got) == draw([("assistant", "other")])[0]
+
+
 def test_empty(spark):
     none = frame(spark, [])
     assert preferences.format_pairs(none, none, "conv_id").count() == 0

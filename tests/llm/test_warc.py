@@ -80,3 +80,31 @@ def test_query(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     got = queries.op8_warc_index(spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted(x[:3] for x in expected(rows))
+
+
+def test_query_against_plain(spark, tmp_path):
+    """All five columns of the query, every record found by the search of its key."""
+    made = pages(spark).select("page_id", "url", "html").filter("page_id IS NOT NULL")
+    rows = made.collect()
+    made.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op8_warc_index(spark, str(tmp_path)).collect()
+    last = {}
+    for r in rows:
+        last[r.html or ""] = max(last.get(r.html or "", (-1, "")), (r.page_id, r.url or ""))
+    want = []
+    seen = set()
+    for r in rows:
+        text, lead = r.html or "", last[r.html or ""]
+        first = (r.page_id, r.url or "") == lead and text not in seen
+        seen |= {text} if first else set()
+        digest = base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+        want.append((r.page_id, len(text.encode()), digest, "response" if first else "revisit", -1 if first else lead[0]))
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in got) == sorted(want)
+
+
+def test_a_search_that_misses_a_capture_is_an_error(spark):
+    made = pages(spark).repartition(3)
+    archive = warc.build_index(warc.write(made), block_rows=5)
+    assert warc.lookup(archive, made, every=True).count() == made.count()
+    with pytest.raises(ValueError, match="captures"):
+        warc.lookup(archive, made.filter("page_id < 150"), every=True)
