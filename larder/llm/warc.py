@@ -348,6 +348,7 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payload: boo
         now, directory, last = None, [], []
         block, lines = None, []
         for batch in slices(batches):
+            rows: list[tuple] = []
             for part, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     now, directory, block = part, json.loads(_load(tops[part]["directory"])), None
@@ -358,11 +359,16 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payload: boo
                         block, lines = at, _unpacked(_load(tops[part]["blocks"], *directory[at][2:]))
                     low = bisect.bisect_left(lines, key, key=itemgetter(0))
                     high = bisect.bisect_right(lines, key, low, key=itemgetter(0))
-                    yield _rows([tuple(r[1:]) for r in lines[low:high]], _PLACE)
+                    rows += (tuple(r[1:]) for r in lines[low:high])
                     at += 1
+                if len(rows) >= BLOCK_ROWS:
+                    yield _rows(rows, _PLACE)
+                    rows = []
+            yield _rows(rows, _PLACE)
 
     keys = urls.select(url_col).mapInArrow(route, asked).distinct()
-    places = keys.repartition("part").sortWithinPartitions("part", "key").mapInArrow(search, _PLACE)
+    # a number of tasks that small rows do not shrink: much is read behind every row
+    places = keys.repartition(max(1, len(tops)), "part").sortWithinPartitions("part", "key").mapInArrow(search, _PLACE)
     if every:
         places = written(places, "warc-places")
         found, captured = places.count(), archive.captures.count()
