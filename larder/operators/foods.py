@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions import fixed, words
-from larder.operators.nutrition import portion_measure, portion_weights
+from larder.functions import fixed, text, words
+from larder.operators.nutrition import portion_list, portion_measure
 from larder.operators.shaping import first_per, top_per
 
 
@@ -128,26 +128,38 @@ def nutrient_record(amounts: DataFrame, key: str = "fdc_id") -> DataFrame:
     )
 
 
-def food_records(amounts: DataFrame, portions: DataFrame) -> DataFrame:
-    """`(fdc_id, nutrition)` with the ten nutrients, a serving of 100 g, and the portions.
+def food_records(amounts: DataFrame, portions: DataFrame, width: int = 1000) -> DataFrame:
+    """`(fdc_id, part, nutrition)` with the ten nutrients, a serving of 100 g, and all portions of the
+    food in order, each with its own measure.
 
-    Of the portions a record keeps the first that fits each class of unit, at most six: a line
-    never takes another one. `nutrition.portion_list` has them all.
+    A record holds the portions of `width` places; a food of ordinary size is the one row with part 0,
+    one without portions has an empty list there.
     """
     wide = nutrient_record(amounts)
-    firsts = portion_weights(portions.withColumn("measure", portion_measure()))
-    kept = F.array(
-        *[
-            F.struct(F.lit(hints[-1]).alias("measure"), F.col(f"portion_{c}").alias("gramWeight"))
-            for c, (_, hints) in fixed.PORTION_CLASSES.items()
-        ]
-    )
-    return wide.join(firsts, "fdc_id", "left").select(
-        "fdc_id",
+    lists = portion_list(portions, width).withColumnRenamed("entries", "portions")
+    return _record(wide.join(lists, "fdc_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint"))), "part")
+
+
+def line_records(amounts: DataFrame, portions: DataFrame) -> DataFrame:
+    """`(fdc_id, nutrition)`, one row per food, with the portions that a line can take: the first by
+    `seq` that fits each class of unit. They keep their order and measure, so that a line takes
+    the same one as from the whole list."""
+    low = F.lower("measure")
+    entry = F.struct("seq", "measure", F.col("gram_weight").alias("gramWeight"))
+    fits = [F.when(text.contains_any(low, hints), F.col("seq")) for _, hints in fixed.PORTION_CLASSES.values()]
+    firsts = portions.withColumn("measure", portion_measure()).groupBy("fdc_id").agg(
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.min_by(entry, seq) for seq in fits])))).alias("portions")
+    ).withColumn("portions", F.transform("portions", lambda p: p.dropFields("seq")))
+    return _record(nutrient_record(amounts).join(firsts, "fdc_id", "left"))
+
+
+def _record(rows: DataFrame, *kept: str) -> DataFrame:
+    return rows.select(
+        "fdc_id", *kept,
         F.struct(
             *fixed.NUTRIENTS,
             F.lit(fixed.DEFAULT_SERVING_G).alias("serving_size_g"),
-            F.filter(kept, lambda p: p["gramWeight"].isNotNull()).alias("portions"),
+            F.coalesce("portions", F.array()).alias("portions"),
         ).alias("nutrition"),
     )
 
@@ -155,4 +167,4 @@ def food_records(amounts: DataFrame, portions: DataFrame) -> DataFrame:
 def term_nutrition(terms: DataFrame, foods: DataFrame, amounts: DataFrame, portions: DataFrame) -> DataFrame:
     """`(term, fdc_id, nutrition)` of the best food per term. `foods` carries `energy`."""
     best = best_foods(terms, foods).select("term", "fdc_id")
-    return best.join(food_records(amounts, portions), "fdc_id")
+    return best.join(line_records(amounts, portions), "fdc_id")

@@ -104,19 +104,38 @@ def cool_down(jobs: DataFrame, blocked: Column, now: Column) -> DataFrame:
     )
 
 
+def block_reason(http_status: Column, url: Column) -> Column:
+    """Why a request was refused: its status where that is one of a block, else an anti-bot page."""
+    plain = F.concat(F.lit("Anti-bot page at "), url)
+    refused = F.concat(F.lit("HTTP "), http_status.cast("string"), F.lit(" at "), url)
+    return F.when(http_status.isin(fixed.BLOCK_STATUSES), refused).otherwise(plain)
+
+
 def crawl_results(requests: DataFrame) -> DataFrame:
-    """Outcome per job of `requests(job_id, request_no, found, blocked, error)`.
+    """Outcome per job of `requests(job_id, request_no, found, blocked, error)`: `recipes_found`,
+    `errors`, `status`, and `reason`, the cause of a block or a failure.
 
-    A block wins over completion. All figures are partial aggregates.
+    Two further columns are read where they are there: `reason`, why a request was blocked (see
+    `block_reason`), and `failure`, the message of an error that ended the crawl. A block wins over a
+    failure, and that over completion; of several causes the last request's counts. All figures are
+    partial aggregates.
     """
-    blocked = F.max("blocked").alias("blocked")
+    for name in ("reason", "failure"):
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(None).cast("string"))
+
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("request_no"))).alias(f"_{name}")
+
     return requests.groupBy("job_id").agg(
         F.sum("found").cast("bigint").alias("recipes_found"),
         F.count("error").alias("errors"),
-        blocked,
+        F.coalesce(F.max("blocked"), F.lit(False)).alias("_blocked"), last("reason"), last("failure"),
     ).select(
         "job_id", "recipes_found", "errors",
-        F.when(F.col("blocked"), "cooling_down").otherwise("completed").alias("status"),
+        F.when(F.col("_blocked"), "cooling_down").when(F.col("_failure").isNotNull(), "failed")
+        .otherwise("completed").alias("status"),
+        F.when(F.col("_blocked"), F.col("_reason")).otherwise(F.col("_failure")).alias("reason"),
     )
 
 
@@ -131,20 +150,43 @@ def crawl_logs(requests: DataFrame, width: int = 50) -> DataFrame:
     return parts.select("job_id", "part", F.array_join("entries", "\n").alias("log"))
 
 
-def record_results(jobs: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Write crawl results into the job table; blocked jobs get their retry time."""
+def job_logs(requests: DataFrame) -> DataFrame:
+    """`(job_id, log)`: the whole log of every job with an error, as its record holds it. A log has at
+    most as many lines as a crawl has requests; `crawl_logs` cuts longer ones into parts."""
+    return crawl_logs(requests).groupBy("job_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "log"))), lambda p: p["log"]), "\n").alias("log")
+    )
+
+
+def record_results(jobs: DataFrame, results: DataFrame, now: Column, logs: DataFrame | None = None) -> DataFrame:
+    """Write crawl results into the job table. Blocked jobs get their retry time and the text of the
+    block, failed ones the message, completed ones their errors from `logs(job_id, log)`; where there is
+    none of these, the log stays as it was."""
     renamed = results.select(
         F.col("job_id").alias("id"),
         F.col("status").alias("_status"),
         F.col("recipes_found").alias("_found"),
+        F.col("reason").alias("_reason"),
     )
     joined = jobs.join(renamed, "id", "left")
+    if logs is None:
+        joined = joined.withColumn("_errors", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(logs.select(F.col("job_id").alias("id"), F.col("log").alias("_errors")), "id", "left")
+    hours = ((F.coalesce("retry_count", F.lit(0)) + 1) * 24).cast("string")
+    block = F.concat(F.lit("Blocked: "), F.col("_reason"), F.lit(". Retrying in "), hours, F.lit(" hours."))
+    message = (
+        F.when(F.col("_status") == "cooling_down", block)
+        .when(F.col("_status") == "failed", F.col("_reason"))
+        .otherwise(F.col("_errors"))
+    )
     done = update_where(
         joined,
         F.col("_status").isNotNull(),
         {
             "status": F.col("_status"),
             "recipes_found": F.col("_found").cast("int"),
+            "log": F.coalesce(F.when(message != "", message), F.col("log")),
             "next_retry_at": F.when(
                 F.col("_status") == "cooling_down", retry_time(now, "retry_count")
             ).otherwise(F.col("next_retry_at")),

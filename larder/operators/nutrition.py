@@ -108,11 +108,11 @@ def weighed(
     return factors.withColumn(weight, grams).drop("_u", "_low", "_direct", "_volume")
 
 
-def portion_list(portions: DataFrame) -> DataFrame:
+def portion_list(portions: DataFrame, width: int = 1000) -> DataFrame:
     """Household portions per food, ordered: `portions(fdc_id, seq, unit_name, modifier,
     gram_weight)`. Measure is the unit's name, else the modifier, else `unit`."""
     entry = F.struct(portion_measure().alias("measure"), F.col("gram_weight").alias("gramWeight"))
-    return list_parts(portions, ["fdc_id"], "seq", entry)
+    return list_parts(portions, ["fdc_id"], "seq", entry, width)
 
 
 def portion_measure() -> Column:

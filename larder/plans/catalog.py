@@ -94,7 +94,7 @@ def listing_dispatch(spark, d):
         F.when(F.col("p_type").isin(_HIDDEN), "quarantined").otherwise("verified")
         .alias("qa_status"),
     )
-    return search(rows)
+    return search(rows, count="total")
 
 
 def json_lists(spark, d):
@@ -235,8 +235,8 @@ QUERIES = {
     "listing_dispatch": (
         listing_dispatch,
         f"""SELECT p_partkey AS id, p_name AS name, p_brand AS image, lower(p_type) AS description,
-        'PT5M' AS cook_time, '' AS prep_time FROM part WHERE p_type NOT IN {_H}
-        ORDER BY p_partkey LIMIT 50""",
+        'PT5M' AS cook_time, '' AS prep_time, count(*) OVER () AS total FROM part
+        WHERE p_type NOT IN {_H} ORDER BY p_partkey LIMIT 50""",
     ),
     "json_lists": (
         json_lists,

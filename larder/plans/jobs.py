@@ -110,6 +110,11 @@ def _requests(spark, d):
         (F.col("value") > 200).alias("blocked"),
         F.when(F.col("event_type") == "error",
                F.concat(F.lit("Request failed "), F.col("event_id").cast("string"))).alias("error"),
+        F.when(F.col("value") > 200, j.block_reason(
+            F.when(F.col("event_type") == "click", 429).when(F.col("event_type") == "view", 403),
+            F.concat(F.lit("shop.example/"), F.col("event_id").cast("string")))).alias("reason"),
+        F.when((F.col("event_type") == "signup") & (F.col("value") < 10),
+               F.concat(F.lit("Crawler stopped at "), F.col("event_id").cast("string"))).alias("failure"),
     )
 
 
@@ -122,9 +127,9 @@ def logs(spark, d):
 
 
 def record(spark, d):
-    done = j.crawl_results(_requests(spark, d))
-    return j.record_results(_jobs(spark, d), done, _now()).select(
-        "id", "status", "recipes_found", "next_retry_at", "updated_at"
+    requests = _requests(spark, d)
+    return j.record_results(_jobs(spark, d), j.crawl_results(requests), _now(), j.job_logs(requests)).select(
+        "id", "status", "recipes_found", "log", "next_retry_at", "updated_at"
     )
 
 
@@ -223,6 +228,22 @@ _KEYS_SQL = """
     r AS (SELECT *, row_number() OVER (PARTITION BY owner_email
       ORDER BY created_at DESC, id DESC) = 1 AS is_active FROM k)"""
 
+_RESULTS_SQL = """
+    r AS (SELECT user_id AS job_id,
+      CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS INTEGER) ELSE 0 END)
+        AS BIGINT) AS recipes_found,
+      count(*) FILTER (event_type = 'error') AS errors,
+      CASE WHEN max(value) > 200 THEN 'cooling_down'
+        WHEN bool_or(event_type = 'signup' AND value < 10) THEN 'failed' ELSE 'completed' END AS status,
+      CASE WHEN max(value) > 200 THEN arg_max(CASE event_type WHEN 'click' THEN 'HTTP 429'
+          WHEN 'view' THEN 'HTTP 403' ELSE 'Anti-bot page' END || ' at shop.example/' || event_id, event_id)
+          FILTER (value > 200)
+        ELSE 'Crawler stopped at ' || max(event_id) FILTER (event_type = 'signup' AND value < 10)
+        END AS reason,
+      string_agg('Request failed ' || event_id, chr(10) ORDER BY event_id)
+        FILTER (event_type = 'error') AS messages
+      FROM events GROUP BY user_id)"""
+
 QUERIES = {
     "jobs_due": (
         due, f"WITH {_SQL} SELECT * FROM j WHERE {_DUE} ORDER BY created_at, id LIMIT 20",
@@ -281,12 +302,7 @@ QUERIES = {
     ),
     "job_results": (
         results,
-        """SELECT user_id AS job_id,
-          CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS INTEGER) ELSE 0 END)
-            AS BIGINT) AS recipes_found,
-          count(*) FILTER (event_type = 'error') AS errors,
-          CASE WHEN max(value) > 200 THEN 'cooling_down' ELSE 'completed' END AS status
-        FROM events GROUP BY user_id""",
+        f"""WITH {_RESULTS_SQL} SELECT job_id, recipes_found, errors, status, reason FROM r""",
     ),
     "job_logs": (
         logs,
@@ -296,18 +312,17 @@ QUERIES = {
     ),
     "job_record": (
         record,
-        f"""WITH {_SQL},
-        r AS (SELECT user_id AS id,
-          CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS INTEGER) ELSE 0 END)
-            AS INTEGER) AS found, max(value) > 200 AS blocked FROM events GROUP BY user_id)
-        SELECT j.id, CASE WHEN r.id IS NULL THEN status WHEN blocked THEN 'cooling_down'
-            ELSE 'completed' END AS status,
-          coalesce(r.found, recipes_found) AS recipes_found,
-          CASE WHEN blocked THEN TIMESTAMP '{_NOW}'
+        f"""WITH {_SQL}, {_RESULTS_SQL}
+        SELECT j.id, coalesce(r.status, j.status) AS status,
+          CAST(coalesce(r.recipes_found, j.recipes_found) AS INTEGER) AS recipes_found,
+          CASE r.status WHEN 'cooling_down'
+            THEN 'Blocked: ' || reason || '. Retrying in ' || (retry_count + 1) * 24 || ' hours.'
+            WHEN 'failed' THEN reason ELSE messages END AS log,
+          CASE r.status WHEN 'cooling_down' THEN TIMESTAMP '{_NOW}'
             + to_hours(CAST((retry_count + 1) * 24 AS INTEGER)) ELSE next_retry_at END
             AS next_retry_at,
-          CASE WHEN r.id IS NULL THEN updated_at ELSE TIMESTAMP '{_NOW}' END AS updated_at
-        FROM j LEFT JOIN r ON j.id = r.id""",
+          CASE WHEN r.job_id IS NULL THEN updated_at ELSE TIMESTAMP '{_NOW}' END AS updated_at
+        FROM j LEFT JOIN r ON j.id = r.job_id""",
     ),
     "key_latest_per_owner": (
         key_latest,

@@ -240,7 +240,7 @@ def audit_report(spark, d):
 
 
 def food_records(spark, d):
-    """Nutrients and kept portions per user of the events."""
+    """Nutrients and all portions per user of the events."""
     events = table(spark, d, "events", ["event_id", "user_id", "event_type", "value"])
     amounts = events.select(
         F.col("user_id").alias("fdc_id"), F.col("event_id").alias("seq"),
@@ -250,7 +250,7 @@ def food_records(spark, d):
     shown = F.transform("nutrition.portions", lambda p: F.concat(
         p["measure"], F.lit("="), p["gramWeight"].cast("decimal(12,2)").cast("string")))
     return out.select(
-        "fdc_id", F.col("nutrition.calories").alias("calories"),
+        "fdc_id", "part", F.col("nutrition.calories").alias("calories"),
         F.col("nutrition.iron_mg").alias("iron_mg"), F.col("nutrition.fat").alias("fat"),
         F.col("nutrition.serving_size_g").alias("serving_size_g"),
         F.array_join(shown, "|").alias("portions"),
@@ -525,18 +525,17 @@ QUERIES = {
     ),
     "food_records": (
         food_records,
-        """SELECT user_id AS fdc_id,
+        """WITH n AS (SELECT user_id,
           coalesce(arg_min(value, event_id) FILTER (event_type = 'click'), 0.0::DOUBLE) AS calories,
-          coalesce(arg_min(value, event_id) FILTER (event_type = 'error'), 0.0::DOUBLE) AS iron_mg,
+          coalesce(arg_min(value, event_id) FILTER (event_type = 'error'), 0.0::DOUBLE) AS iron_mg
+        FROM events GROUP BY user_id)
+        SELECT e.user_id AS fdc_id, CAST(floor(event_id / 1000) AS BIGINT) AS part,
+          any_value(calories) AS calories, any_value(iron_mg) AS iron_mg,
           0.0::DOUBLE AS fat, 100.0::DOUBLE AS serving_size_g,
-          concat_ws('|',
-            'cup=' || CAST(CAST(arg_min(value, event_id) FILTER (event_type = 'click')
-              AS DECIMAL(12,2)) AS VARCHAR),
-            'teaspoon=' || CAST(CAST(arg_min(value, event_id) FILTER (event_type = 'error')
-              AS DECIMAL(12,2)) AS VARCHAR),
-            'whole=' || CAST(CAST(arg_min(value, event_id) FILTER (event_type = 'view')
-              AS DECIMAL(12,2)) AS VARCHAR)) AS portions
-        FROM events GROUP BY user_id""",
+          string_agg(CASE event_type WHEN 'click' THEN 'Cup, packed' WHEN 'view' THEN '1 LARGE'
+            WHEN 'error' THEN 'teaspoon' ELSE 'unit' END || '='
+            || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), '|' ORDER BY event_id) AS portions
+        FROM events e JOIN n ON n.user_id = e.user_id GROUP BY e.user_id, part""",
     ),
     "food_pick": (food_pick, _pick_sql()),
     "nutrient_pivot": (

@@ -319,6 +319,25 @@ def test_no_food_is_left_out_before_it_is_scored(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_food_records_keep_every_portion(spark):
+    amounts = spark.createDataFrame([(1, 1, 1008, 717.0), (2, 1, 1008, 5.0)], "fdc_id long, seq int, nutrient_id int, amount double")
+    given = [(1, 4, "cup", "", 227.0), (1, 1, None, "pat", 5.0), (1, 2, None, "slice or cup", 30.0), (1, 9, "Cup", None, 99.0), (1, 12, "", None, 1.0)]
+    portions = spark.createDataFrame(given, "fdc_id long, seq int, unit_name string, modifier string, gram_weight double")
+    got = {(r.fdc_id, r.part): [tuple(p) for p in r.nutrition.portions] for r in foods.food_records(amounts, portions).collect()}
+    assert got == {(1, 0): [("pat", 5.0), ("slice or cup", 30.0), ("cup", 227.0), ("Cup", 99.0), ("unit", 1.0)], (2, 0): []}
+    parts = {r.part: len(r.nutrition.portions) for r in foods.food_records(amounts, portions, width=5).collect() if r.fdc_id == 1}
+    assert parts == {0: 3, 1: 1, 2: 1}
+    # what a line takes from the short list is what it takes from the whole one
+    whole = foods.food_records(amounts, portions).drop("part")
+    units = spark.createDataFrame([(u,) for u in ("cups", "slice", "pat", "oz", "tbsp", "whole", None)], "unit string")
+    for records in (whole, foods.line_records(amounts, portions)):
+        one = records.filter("fdc_id = 1").select("nutrition")
+        taken = units.join(one).select("unit", nutrition.portion_grams().alias("g")).collect()
+        assert {r.unit: r.g for r in taken if r.unit in ("cups", "slice", "oz")} == {"cups": 30.0, "slice": 30.0, "oz": None}
+    short = foods.line_records(amounts, portions).filter("fdc_id = 1").first().nutrition.portions
+    assert [tuple(p) for p in short] == [("slice or cup", 30.0)]
+
+
 def test_full_nutrition_run(spark):
     recipes = spark.createDataFrame(
         [("r1", ["2 cups butter", "1 large egg", "unknown stuff"]), ("r2", ["100 g butter"]), ("r3", [])],
@@ -494,3 +513,48 @@ def test_rating_and_document(spark):
     assert '"image":[]' in docs["1"]
     assert "aggregateRating" not in docs["2"]
     assert '"recipeInstructions":[]' in docs["2"]
+
+
+def test_crawl_record_of_every_outcome(spark):
+    requests = spark.createDataFrame(
+        [(1, 1, 2, False, "e1", None, None), (1, 2, 1, False, "e2", None, None),
+         (2, 1, 4, True, "e", "HTTP 403 at x/1", None), (2, 2, 0, True, None, "Anti-bot page at x/2", "stopped"),
+         (3, 1, 5, False, "e3", None, None), (3, 2, 0, False, None, None, "out of memory"),
+         (4, 1, 7, False, None, None, None), (6, 1, None, None, None, None, None)],
+        "job_id int, request_no int, found int, blocked boolean, error string, reason string, failure string",
+    )
+    table = spark.createDataFrame(
+        [(i, "processing", 0, "old", None, 1, None) for i in (1, 2, 3, 4, 5, 6)],
+        "id int, status string, recipes_found int, log string, next_retry_at timestamp, retry_count int, updated_at timestamp",
+    )
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    done = jobs.record_results(table, jobs.crawl_results(requests), now, jobs.job_logs(requests))
+    got = {r.id: (r.status, r.recipes_found, r.log) for r in done.collect()}
+    assert got == {
+        1: ("completed", 3, "e1\ne2"), 2: ("cooling_down", 4, "Blocked: Anti-bot page at x/2. Retrying in 48 hours."),
+        3: ("failed", 5, "out of memory"), 4: ("completed", 7, "old"), 5: ("processing", 0, "old"), 6: ("completed", None, "old"),
+    }
+    # many requests in several parts of the log
+    many = spark.range(120).select(
+        F.lit(1).alias("job_id"), F.col("id").alias("request_no"), F.lit(0).alias("found"), F.lit(False).alias("blocked"),
+        F.concat(F.lit("e"), "id").alias("error"),
+    )
+    assert jobs.job_logs(many).first().log.split("\n") == [f"e{i}" for i in range(120)]
+    assert jobs.crawl_results(many).first().status == "completed"
+
+
+def test_block_reason(spark):
+    df = spark.createDataFrame([(403,), (429,), (200,), (None,)], "s int")
+    got = [r[0] for r in df.select(jobs.block_reason(F.col("s"), F.lit("u"))).collect()]
+    assert got == ["HTTP 403 at u", "HTTP 429 at u", "Anti-bot page at u", "Anti-bot page at u"]
+
+
+def test_count_beside_the_listing(spark):
+    rows = spark.range(130).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("fish "), "id").alias("name"),
+        F.when(F.col("id") % 3 == 0, "rejected").otherwise("verified").alias("qa_status"),
+        *(F.lit("").alias(c) for c in ("image", "description", "cook_time", "prep_time")),
+    )
+    listed = s.search(rows, count="total").collect()
+    assert len(listed) == 50 and {r.total for r in listed} == {86}
+    assert "total" not in s.search(rows).columns
