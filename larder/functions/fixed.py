@@ -205,6 +205,12 @@ SITEMAP_HEAD = [
     '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
 ]
 SITEMAP_FOOT = "</urlset>"
+SITEMAP_INDEX_HEAD = [
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
+]
+SITEMAP_INDEX_FOOT = "</sitemapindex>"
+SITEMAP_ENTRY = "  <sitemap><loc>{site}</loc></sitemap>"
 STATIC_LINE = "  <url><loc>{site}{page}</loc><changefreq>daily</changefreq></url>"
 RECIPE_LINE = "  <url><loc>{site}/recipe/%s</loc><lastmod>%s</lastmod></url>"
 

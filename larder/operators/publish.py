@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions import fixed, text, variants
 from larder.operators.catalog import visible
+from larder.session import written
 
 
 def static_lines(spark: SparkSession, site: str) -> DataFrame:
@@ -31,6 +32,35 @@ def sitemap_lines(recipes: DataFrame, site: str, now: Column, id_col: str = "id"
     )
 
 
+def in_shards(lines: DataFrame, per_file: int = fixed.URLS_PER_SITEMAP) -> DataFrame:
+    """`lines` with `shard` and `place`: numbered without gaps in the order of the line, `per_file` to a shard.
+
+    The lines are dealt by ranges and written with the number of their range, so a lost task finds the
+    same ranges again. A window numbers the lines of a range; the ranges before it are counted
+    in a table of one row per range.
+    """
+    dealt = written(lines.select("line").repartitionByRange("line").withColumn("_range", F.spark_partition_id()), "sitemap-lines")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("line"))
+    place = (F.col("_base") + F.col("_in") - 1).cast("bigint")
+    numbered = dealt.withColumn("_in", inside).join(bases, "_range").select("line", place.alias("place"))
+    return numbered.withColumn("shard", F.floor(F.col("place") / per_file).cast("bigint"))
+
+
+def whole_files(rows: DataFrame, key: str, order: str, value: str, head: list[str], foot: str) -> DataFrame:
+    """`(key, _at, value)`: the rows of every file by `_at`, between the lines of its head and its foot."""
+    body = rows.select(key, F.struct(F.lit(1).alias("a"), F.col(order).cast("bigint").alias("b")).alias("_at"), F.col(value).alias("value"))
+    keys = rows.select(key).distinct()
+    frame = [(0, i, line) for i, line in enumerate(head)] + [(2, 0, foot)]
+    around = F.explode(F.array(*(
+        F.struct(F.struct(F.lit(a).alias("a"), F.lit(b).cast("bigint").alias("b")).alias("_at"), F.lit(v).alias("value"))
+        for a, b, v in frame
+    )))
+    return body.unionByName(keys.select(key, around.alias("f")).select(key, "f._at", "f.value"))
+
+
 def rating(score: Column) -> Column:
     """Score over 20, kept within 1 and 5, with one decimal."""
     bounded = F.least(F.lit(5.0), F.greatest(F.lit(1.0), score / F.lit(20.0)))

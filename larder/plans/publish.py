@@ -13,6 +13,11 @@ _SITE = "https://catalogue.example"
 _NOW = "2024-06-01 12:30:45.678"
 
 
+def sitemap_shards(spark, d):
+    """Every line of the sitemap with its place and the file of 500 lines that holds it."""
+    return pub.in_shards(sitemap_lines(spark, d), per_file=500)
+
+
 def sitemap_lines(spark, d):
     docs = table(spark, d, "documents", ["doc_id", "lang", "n_chars"])
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -58,17 +63,20 @@ def schema_org_json(spark, d):
     return pub.schema_org(recipes, "Larder Kitchen")
 
 
-
-QUERIES = {
-    "sitemap_lines": (
-        sitemap_lines,
-        f"""SELECT '  <url><loc>{_SITE}' || unnest(['{"', '".join(fixed.SITE_PAGES)}'])
+_LINES_SQL = f"""SELECT '  <url><loc>{_SITE}' || unnest(['{"', '".join(fixed.SITE_PAGES)}'])
           || '</loc><changefreq>daily</changefreq></url>' AS line
         UNION ALL
         SELECT '  <url><loc>{_SITE}/recipe/' || doc_id || '</loc><lastmod>' ||
           strftime(CASE WHEN n_chars > 500 THEN TIMESTAMP '2024-01-01' + to_minutes(n_chars)
             ELSE TIMESTAMP '{_NOW}' END, '%Y-%m-%dT%H:%M:%S.%g') || 'Z</lastmod></url>'
-        FROM documents WHERE lang NOT IN ('de', 'es')""",
+        FROM documents WHERE lang NOT IN ('de', 'es')"""
+
+QUERIES = {
+    "sitemap_lines": (sitemap_lines, _LINES_SQL),
+    "sitemap_shards": (
+        sitemap_shards,
+        f"""SELECT line, place, place // 500 AS shard
+        FROM (SELECT line, row_number() OVER (ORDER BY line) - 1 AS place FROM ({_LINES_SQL}))""",
     ),
     "schema_org_json": (
         schema_org_json,

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import replace
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
+from larder.operators import publish
 from larder.operators.tables import insertable
 from larder.sources.store import Store
 
+
 def append_rows(
     df: DataFrame, path: str, required: list[str], defaults: dict[str, Column], rejects: str
 ) -> None:
@@ -53,32 +52,29 @@ def clear_table(spark: SparkSession, root: str) -> tuple[int, int]:
 # --- files --------------------------------------------------------------------------
 
 
-def write_sitemaps(lines: DataFrame, folder: str, site: str, per_file: int = fixed.URLS_PER_SITEMAP) -> DataFrame:
-    """Write complete sitemap files of at most `per_file` urls each and an index of them.
+def write_sitemaps(
+    lines: DataFrame, folder: str, site: str, per_file: int = fixed.URLS_PER_SITEMAP,
+    per_index: int = fixed.URLS_PER_SITEMAP,
+) -> DataFrame:
+    """Write complete sitemap files of `per_file` urls each and complete index files of `per_index`
+    entries each; returns the entries `(shard, index, entry)`.
 
-    Every partition wraps its own runs of lines, and the writer starts a new file exactly after
-    each run, so nothing is numbered or gathered across partitions.
+    Files are numbered without gaps: `maps/shard=0`, `maps/shard=1` and so on hold one file each, and
+    so do `index/index=0` and on. All but the last of either are full; where there are several index
+    files, each is handed in on its own, since an index may not name another.
     """
 
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flow = (line for batch in batches for line in batch["line"])
-        while chunk := list(islice(flow, per_file)):
-            yield pd.DataFrame({"value": [*fixed.SITEMAP_HEAD, *chunk, fixed.SITEMAP_FOOT]})
-
-    full = len(fixed.SITEMAP_HEAD) + per_file + 1
-    lines.select("line").mapInPandas(wrapped, "value string").write.option(
-        "maxRecordsPerFile", full
-    ).text(f"{folder}/maps")
-
-    spark = lines.sparkSession
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    index = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/maps")
-        .filter("length > 0")
-        .select(F.concat(F.lit(f"  <sitemap><loc>{site}/maps/"), name,
-                         F.lit("</loc></sitemap>")).alias("value"))
-    )
-    index.write.text(f"{folder}/index")
+    def write(rows: DataFrame, key: str, path: str) -> None:
+        rows.repartition(key).sortWithinPartitions(key, "_at").select(key, "value").write.partitionBy(key).text(path)
+
+    shards = publish.in_shards(lines, per_file)
+    write(publish.whole_files(shards, "shard", "place", "line", fixed.SITEMAP_HEAD, fixed.SITEMAP_FOOT), "shard", f"{folder}/maps")
+    files = lines.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/maps")
+    name = F.regexp_extract("path", r"(shard=[0-9]+/[^/]+)$", 1)
+    entry = F.format_string(fixed.SITEMAP_ENTRY.format(site=site.replace("%", "%%") + "/maps/%s"), name)
+    index = files.select(F.col("shard").cast("bigint").alias("shard"), entry.alias("entry"))
+    index = index.withColumn("index", F.floor(F.col("shard") / per_index).cast("bigint"))
+    write(publish.whole_files(index, "index", "shard", "entry", fixed.SITEMAP_INDEX_HEAD, fixed.SITEMAP_INDEX_FOOT), "index", f"{folder}/index")
     return index
 
 

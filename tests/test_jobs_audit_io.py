@@ -2,7 +2,9 @@
 
 import glob
 import json
+import os
 import tempfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,19 +116,44 @@ def test_versioned_table(spark, folder):
     assert writers.read_current(spark, root).count() == 0
 
 
-def test_sitemap_files(spark, folder):
-    recipes = spark.range(25).select(
+def _xml_files(folder, tag):
+    """Number of the file to what its entries name; every file is one well-formed document."""
+    out = {}
+    for path in glob.glob(f"{folder}/*/*.txt"):
+        root = ElementTree.parse(path).getroot()
+        number = int(path.split("=")[-1].split("/")[0])
+        assert root.tag.endswith(tag) and number not in out
+        out[number] = [entry[0].text for entry in root]
+    return out
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_sitemap_files(spark, folder, adaptive):
+    recipes = spark.range(125).select(
         F.col("id").cast("string").alias("id"), F.lit("verified").alias("qa_status"),
         F.lit(NOW).cast("timestamp").alias("updated_at"),
     )
-    lines = publish.sitemap_lines(recipes, "https://s.example", F.lit(NOW).cast("timestamp")).coalesce(2)
-    index = writers.write_sitemaps(lines, folder, "https://s.example", per_file=6)
-    files = [open(f).read().splitlines() for f in glob.glob(f"{folder}/maps/*.txt")]
-    files = [f for f in files if f]
-    assert all(f[0].startswith("<?xml") and f[-1] == "</urlset>" and len(f) <= 9 for f in files)
-    body = [x for f in files for x in f[2:-1]]
-    assert len(body) == 29 and len(set(body)) == 29
-    assert index.count() == len(files)
+    lines = publish.sitemap_lines(recipes, "https://s.example", F.lit(NOW).cast("timestamp")).repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        index = writers.write_sitemaps(lines, folder, "https://s.example", per_file=6, per_index=4)
+        count = index.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    maps = _xml_files(f"{folder}/maps", "}urlset")
+    assert sorted(maps) == list(range(22)) and [len(maps[i]) for i in range(22)] == [6] * 21 + [3]
+    urls = [u for i in range(22) for u in maps[i]]
+    assert len(urls) == len(set(urls)) == 129 and urls == sorted(urls, key=lambda u: u + "<")  # in the order of the line
+    named = _xml_files(f"{folder}/index", "}sitemapindex")
+    assert [len(named[i]) for i in sorted(named)] == [4, 4, 4, 4, 4, 2] and count == 22
+    entries = [e for i in sorted(named) for e in named[i]]
+    assert [int(e.split("shard=")[1].split("/")[0]) for e in entries] == list(range(22))
+    assert all(os.path.exists(e.replace("https://s.example", folder)) for e in entries)
+
+
+def test_sitemap_of_no_line(spark, folder):
+    lines = spark.createDataFrame([], "line string")
+    assert writers.write_sitemaps(lines, folder, "https://s.example").count() == 0
 
 
 def test_documents_and_report(spark, folder):
