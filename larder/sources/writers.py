@@ -72,7 +72,8 @@ def write_sitemaps(
     files = lines.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/maps")
     name = F.regexp_extract("path", r"(shard=[0-9]+/[^/]+)$", 1)
     entry = F.format_string(fixed.SITEMAP_ENTRY.format(site=site.replace("%", "%%") + "/maps/%s"), name)
-    index = files.select(F.col("shard").cast("bigint").alias("shard"), entry.alias("entry"))
+    number = F.regexp_extract("path", r"shard=([0-9]+)/[^/]+$", 1).cast("bigint")
+    index = files.select(number.alias("shard"), entry.alias("entry"))
     index = index.withColumn("index", F.floor(F.col("shard") / per_index).cast("bigint"))
     write(publish.whole_files(index, "index", "shard", "entry", fixed.SITEMAP_INDEX_HEAD, fixed.SITEMAP_INDEX_FOOT), "index", f"{folder}/index")
     return index
