@@ -17,7 +17,14 @@ from larder.operators.shaping import first_per, once
 _JSONLD = (
     r'(?is)<script\b[^>]*\btype\s*=\s*["\']?application/ld\+json["\']?[^>]*>(.*?)</script\s*>'
 )
-_HREF = r'(?is)<a\s[^>]*?\bhref\s*=\s*["\']([^"\']*)["\']'
+_ANCHOR = r"""(?is)<a(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: The first attribute of that very name, its value in double, single or no quotes.
+_HREF = (
+    r"""(?is)^<a(?:[\s/]++(?!href[\s=/>])[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
+    r"""[\s/]++href\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+)
+_NUMERIC = r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*:)//([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
 # --- blocked pages ----------------------------------------------------------------
@@ -51,37 +58,97 @@ def is_blocked(html: Column, status: Column | None = None) -> Column:
 # --- links --------------------------------------------------------------------------
 
 
+def unescaped(c: Column) -> Column:
+    """Numeric character references and the five of XML decoded, in the place where they stand."""
+
+    def one(acc: Column, code: Column) -> Column:
+        number = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("bigint")
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        real = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), F.when(real, sign).otherwise(F.lit("\ufffd")))
+
+    # an ampersand is decoded last, so that nothing is decoded twice; "&#38;" is one of its spellings
+    out = F.regexp_replace(c, r"(?i)&#(?:0*38|x0*26);", "&amp;")
+    out = F.aggregate(F.array_distinct(F.regexp_extract_all(out, F.lit(_NUMERIC), 1)), out, one)
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return F.when(c.contains("&"), out).otherwise(c)
+
+
+def hrefs(html: Column) -> Column:
+    """The addresses of all anchors outside comments, in order, decoded and without blanks around."""
+    seen = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")).otherwise(html)
+
+    def href(tag: Column) -> Column:
+        return F.concat(*(F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)))
+
+    return F.transform(
+        F.regexp_extract_all(seen, F.lit(_ANCHOR), 0), lambda tag: F.btrim(unescaped(href(tag)), F.lit(" \t\n\r\f"))
+    )
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with `/`, its `.` and `..` parts folded."""
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
+    last = F.element_at(parts, -1)
+
+    def fold(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    folded = F.aggregate(parts, F.array().cast("array<string>"), fold)
+    # a path that ends in a dot part names a folder
+    whole = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(whole, "/"))).otherwise(path)
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """The absolute http address that a reference on a page of address `url` stands for, without its
+    fragment. Null for other schemes, for a fragment of the same page, and for an empty reference."""
+
+    def part(c: Column, group: int) -> Column:
+        return F.regexp_extract(c, _PARTS, group)
+
+    bare = F.regexp_replace(href, "(?s)#.*$", "")
+    query, path = F.regexp_extract(bare, r"(?s)\?.*$", 0), F.regexp_replace(bare, r"(?s)\?.*$", "")
+    origin = F.concat(part(url, 1), F.lit("//"), part(url, 2))
+    here = F.when(part(url, 3) == "", F.lit("/")).otherwise(part(url, 3))
+    folder = F.regexp_replace(here, r"[^/]*$", "")
+    given = F.when(bare.startswith("//"), F.concat(part(url, 1), bare)).otherwise(bare)
+    given_path = part(given, 3)
+    return (
+        F.when(bare == "", F.lit(None))
+        .when(bare.startswith("//") | bare.rlike(r"(?i)^https?://"), F.concat(
+            part(given, 1), F.lit("//"), part(given, 2),
+            F.when(given_path == "", given_path).otherwise(_without_dots(given_path)), part(given, 4)))
+        .when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+        .when(path == "", F.concat(origin, here, query))
+        .when(path.startswith("/"), F.concat(origin, _without_dots(path), query))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), query))
+    )
+
+
+def _hostname(c: Column | str) -> Column:
+    return F.regexp_replace(url_host(c), r":[0-9]*$", "")
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(page url, link) for every same-host link worth following, distinct per page.
+    """(page url, link) for every same-host link worth following, distinct per page; ports do not count.
 
     Site pages such as /about are left out unless they look like a recipe; `recipe_like` marks
     the targeted ones.
     """
-    href = F.col("href")
-    base = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
-    folder = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//", 1)
-    absolute = (
-        F.when(href.rlike(r"(?i)^https?://"), href)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(base, href))
-        .when((href == "") | href.startswith("#") | href.startswith("?"), F.lit(None))
-        .otherwise(F.concat(F.regexp_replace(folder, r"([^/])$", "$1/"), href))
-    )
     links = (
-        pages.select(url, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(_HREF), 1)))
-                     .alias("href"))
-        .withColumn("href", F.trim("href"))
-        .withColumn("link", absolute)
-        .filter(F.col("link").isNotNull() & (url_host("link") == url_host(url)))
+        pages.select(url, F.explode(F.array_distinct(hrefs(F.col(html)))).alias("href"))
+        .withColumn("link", resolved(F.col(url), F.col("href")))
+        .filter(F.col("link").isNotNull() & (_hostname("link") == _hostname(url)))
     )
     site_page = F.col("link").rlike("/(?:" + "|".join(fixed.EXCLUDED_PATHS) + ")$")
     recipe_like = F.col("link").rlike(fixed.RECIPE_LINK)
     return (
         links.withColumn("recipe_like", recipe_like)
         .filter(~site_page | F.col("recipe_like"))
-        .select(url, F.regexp_replace("link", "#.*$", "").alias("link"), "recipe_like")
+        .select(url, "link", "recipe_like")
         .distinct()
     )
 

@@ -129,3 +129,40 @@ def test_gate_and_last_per_url(spark):
     assert [(r["url"], r["recipes_found"]) for r in p.found_per_url(good).collect()] == [
         ("https://site.example/0", 2)
     ]
+
+
+@pytest.mark.parametrize(("href", "want"), [
+    ("b", "https://h.org:8080/x/y/b"), ("./b", "https://h.org:8080/x/y/b"), ("../b?q=1#top", "https://h.org:8080/x/b?q=1"),
+    ("../../../b", "https://h.org:8080/b"), ("..", "https://h.org:8080/x/"), (".", "https://h.org:8080/x/y/"),
+    ("/a/./b/../c/", "https://h.org:8080/a/c/"), ("?p=2", "https://h.org:8080/x/y/z?p=2"), ("#top", None), ("", None),
+    ("//o.org/a/../b", "https://o.org/b"), ("HTTP://o.org", "HTTP://o.org"), ("mailto:a@b.org", None), ("javascript:void(0)", None),
+    ("http://o.org/a?x=/../y", "http://o.org/a?x=/../y"), ("b.html?u=a/../c", "https://h.org:8080/x/y/b.html?u=a/../c"), (".hidden/...", "https://h.org:8080/x/y/.hidden/..."),
+])
+def test_references_are_resolved(spark, href, want):
+    row = spark.createDataFrame([("https://h.org:8080/x/y/z?old=1#f", href)], "url string, href string")
+    assert row.select(p.resolved(F.col("url"), F.col("href"))).first()[0] == want
+
+
+def test_hrefs_of_every_form(spark):
+    html = (
+        '<a href="/one">1</a><A class=x HREF=\'/two\'>2</A><a href=/three>3</a><a\nid="b" href = "/four">4</a>'
+        '<!-- <a href="/hidden">no</a> --><a data-href="/no">no</a><a data-href="/no" href="/five">5</a><abbr href="/no">no</abbr>'
+        '<a title="x > href=/no" href="/six">6</a><a href="/q?a=1&amp;b=2&#38;c=&#x33;&#128512;&#0;">7</a><a name="n">no</a><a href="/amp&amp;lt;">8</a>'
+        '<a href="  /nine  ">9</a><a/href="/ten">10</a><!-- open <a href="/no">'
+    )
+    got = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(p.hrefs(F.col("html"))).collect()
+    found = [h for h in got[0][0] if h]
+    assert found == ["/one", "/two", "/three", "/four", "/five", "/six", "/q?a=1&b=2&c=3\U0001f600\ufffd", "/amp&lt;", "/nine", "/ten"]
+    assert got[1][0] is None and got[2][0] == []
+
+
+def test_links_of_the_same_host_on_another_port(spark):
+    pages = spark.createDataFrame([("https://h.org:8080/a/b", '<a href="https://h.org/recipe/../recipe/1">x</a><a href="https://www.h.org/x">y</a>')], "url string, html string")
+    assert [tuple(r) for r in p.page_links(pages).collect()] == [("https://h.org:8080/a/b", "https://h.org/recipe/1", True)]
+
+
+def test_long_pages_do_not_overflow(spark):
+    tag = "<a " + " ".join(f'data-{i}="{i}"' for i in range(400)) + ' href="/far">x</a>'
+    html = ("<p>" + "word " * 20 + "</p>") * 5000 + tag * 20 + "<a " + "x" * 100_000 + ">"
+    got = spark.createDataFrame([(html,)], "html string").select(p.hrefs(F.col("html"))).first()[0]
+    assert [h for h in got if h] == ["/far"] * 20
