@@ -122,6 +122,45 @@ def test_fuzzy_join_equals_brute_force(spark, threshold):
     assert len(found) == len(want)
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+@pytest.mark.parametrize(("hot", "short", "block"), [(0, 6, 3), (5, 12, 4), (0, 100, 2)])
+def test_fuzzy_keys_lose_and_repeat_no_pair(spark, threshold, hot, short, block):
+    """Hot pieces, hot twos, long left texts, single shared pieces and blocks, each forced by small parameters."""
+    rnd = random.Random(11)
+    syllables = ["ba", "ke", "fi", "sh", "ov", "en", "ho", "t", " "]
+    make = lambda: "".join(rnd.choices(syllables, k=rnd.randint(1, 9))).strip()
+    left, right = [make() for _ in range(70)] + [None, "x", "", "b a"], [make() for _ in range(70)] + ["x", "", "a"]
+    tuned = {"hot": hot, "short": short, "block": block}
+    found = s.fuzzy_join(
+        spark.createDataFrame([(x,) for x in left], "left_text string"),
+        spark.createDataFrame([(x,) for x in right], "right_text string"), threshold, **tuned,
+    ).collect()
+    assert sorted((r["left_text"], r["right_text"]) for r in found) == sorted(
+        (a, b) for a in set(left) - {None} for b in set(right) if _similarity(a, b) >= threshold
+    )
+    every = sorted({x for x in left + right if x is not None})
+    twos = s.fuzzy_pairs(spark.createDataFrame([(x,) for x in left + right], "text string"), threshold, **tuned)
+    assert sorted((r["left_text"], r["right_text"]) for r in twos.collect()) == [
+        (a, b) for a, b in itertools.combinations(every, 2) if _similarity(a, b) >= threshold
+    ]
+
+
+def test_a_piece_of_many_texts_is_no_key_of_its_own(spark):
+    rnd = random.Random(2)
+    letters = "bcdfghjklmnpqrstvwxz"
+    texts = sorted({f"pancake {''.join(rnd.choices(letters, k=3))}" for _ in range(300)} | {
+        "".join(rnd.choices(letters, k=14)) for _ in range(600)
+    })
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    sets = s._ordered_pieces(df, s._frequency(df)).cache()
+    one, two = (s._join_keys(sets, 0.5, 100, 32, first) for first in (True, False))
+    blocked = s._block_hot(one, two, 50)[0]
+    assert {r[0][0] for r in one.select("key").distinct().collect()} == {"0", "1"}
+    assert blocked.groupBy("key", "cell").count().agg(F.max("count")).first()[0] <= 100
+    assert blocked.select("t", "key").distinct().count() == one.count()
+    assert s.fuzzy_pairs(df.toDF("text"), 0.5, hot=100, block=50).count() == s.fuzzy_pairs(df.toDF("text"), 0.5).count()
+
+
 @pytest.mark.parametrize("term", ["baking fish", "bak", "hot", "o"])
 def test_fuzzy_search_equals_brute_force(spark, term):
     texts = _texts(60, seed=5)
