@@ -71,8 +71,8 @@ def positions(tokens: Column, term: str) -> Column:
 
 
 def adjacent(first: Column, second: Column, gap: int = 1) -> Column:
-    """Places of `first` that are followed by `second` at exactly `gap`."""
-    return F.filter(first, lambda p: F.array_contains(second, p + gap))
+    """Places of `first` that are followed by `second` at exactly `gap`; linear in both."""
+    return F.transform(F.array_intersect(F.transform(first, lambda p: p + gap), second), lambda q: q - gap)
 
 
 def rank_or(places: list[Column]) -> Column:
@@ -97,25 +97,37 @@ def _closeness(distance: Column) -> Column:
 def rank_and(places: list[Column]) -> Column:
     """1 - product over all pairs of places of different words of (1 - closeness weight).
 
-    Pairs further apart than 100 words weigh 1e-16 and leave the product as it is, so only
-    near pairs are formed. No pair at all gives the smallest rank.
+    Pairs further apart than 100 words weigh 1e-16 and leave the product as it is. The places of all
+    words are put in one order, and every place meets the next hundred only: two words do not share a
+    place, so whatever is within 100 words is among these. The work grows with the places, not with
+    their pairs. No pair at all gives the smallest rank.
     """
     w = fixed.POSITION_WEIGHT
-    rest = F.lit(1.0)
     pairs = F.lit(0).cast("bigint")
     for i in range(len(places)):
         for k in range(i):
+            pairs = pairs + F.size(places[i]).cast("bigint") * F.size(places[k])
 
-            def against(p: Column, other: Column = places[k]) -> Column:
-                near = F.filter(other, lambda q: F.abs(p - q).between(1, 100))
-                return F.aggregate(
-                    near,
-                    F.lit(1.0),
-                    lambda acc, q: acc * (1.0 - F.sqrt(_closeness(F.abs(p - q)) * (w * w))),
-                )
+    def marked(word: int) -> Column:
+        return F.transform(places[word], lambda at: F.struct(at.alias("at"), F.lit(word).alias("word")))
 
-            rest = rest * F.aggregate(places[i], F.lit(1.0), lambda acc, p: acc * against(p))
-            pairs = pairs + F.size(places[i]).cast("bigint") * F.size(places[k])
+    # by distance; one array for all pairs
+    factors = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda d: 1.0 - F.sqrt(_closeness(d) * (w * w)))
+
+    def sweep(x: Column) -> Column:
+        line, factor = x["line"], x["factor"]
+
+        def against(p: Column, i: Column) -> Column:
+            after = F.filter(
+                F.slice(line, i + 2, F.lit(100)), lambda q: (q["word"] != p["word"]) & (q["at"] - p["at"]).between(1, 100)
+            )
+            return F.aggregate(after, F.lit(1.0), lambda acc, q: acc * F.element_at(factor, (q["at"] - p["at"]).cast("int")))
+
+        return F.aggregate(F.transform(line, against), F.lit(1.0), lambda acc, v: acc * v)
+
+    # a lambda's variable is worked out once, a column inside a lambda for every element
+    bound = F.array(F.struct(F.array_sort(F.concat(*map(marked, range(len(places))))).alias("line"), factors.alias("factor")))
+    rest = F.transform(bound, sweep)[0]
     return F.when(pairs > 0, F.greatest(1.0 - rest, F.lit(1e-16))).otherwise(F.lit(1e-20))
 
 

@@ -1,13 +1,17 @@
 """Scalar functions against hand-computed values."""
 
+import itertools
 import math
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.functions import porter, scoring, text, variants, words
+from larder.functions import fixed, porter, scoring, text, variants, words
+from larder.operators.shaping import once
 
 
 @pytest.mark.parametrize(
@@ -217,3 +221,31 @@ def test_a_stem_without_its_last_letter_begins_the_word(root, ending):
     word = root + ending
     found = porter.stem(word)
     assert word.startswith(found[: max(1, len(found) - 1)])
+
+
+def test_rank_of_near_words_equals_all_pairs(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(["red", "blue", "fish", *"abcdefghij"] + ["x"] * wide, k=rnd.randint(1, 400))) for wide in (0, 5, 90) for _ in range(8)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    cut = words.words("t")
+    got = dict(df.select("id", words.rank_and([words.positions(cut, w) for w in ("red", "blue", "fish")])).collect())
+    for i, t in enumerate(texts):
+        at = [[n for n, w in enumerate(t.split(), 1) if w == q] for q in ("red", "blue", "fish")]
+        rest, pairs = 1.0, 0
+        for a, b in itertools.combinations(at, 2):
+            for p, q in itertools.product(a, b):
+                pairs += 1
+                if abs(p - q) <= 100:
+                    rest *= 1.0 - math.sqrt(words.closeness(abs(p - q)) * fixed.POSITION_WEIGHT**2)
+        assert got[i] == pytest.approx(max(1.0 - rest, 1e-16) if pairs else 1e-20, rel=1e-9, abs=1e-15)
+
+
+def test_rank_of_a_long_text_is_linear(spark):
+    """100,000 words, both terms everywhere: all pairs would be 2.5 thousand million."""
+    df = spark.range(1).select(F.expr("repeat('red blue ', 50000)").alias("t"))
+    cut = once(df, "w", words.words("t"))
+    at = once(once(cut, "red", words.positions(F.col("w"), "red")), "blue", words.positions(F.col("w"), "blue"))
+    started = time.monotonic()
+    assert at.select(words.rank_and([F.col("red"), F.col("blue")])).first()[0] == pytest.approx(1.0)
+    assert at.select(F.size(words.adjacent(F.col("red"), F.col("blue")))).first()[0] == 50000
+    assert time.monotonic() - started < 60
