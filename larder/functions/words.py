@@ -63,10 +63,11 @@ def similarity_to(c: Column | str, term: str) -> Column:
     return similarity(trigrams(c), wanted)
 
 
-def positions(tokens: Column, term: str) -> Column:
-    """1-based places of a word."""
+def positions(tokens: Column, term: str | list[str]) -> Column:
+    """1-based places of a word, or of any of its spellings."""
+    spelt = [term] if isinstance(term, str) else term
     return F.filter(
-        F.transform(tokens, lambda w, i: F.when(w == term, i + 1)), lambda p: p.isNotNull()
+        F.transform(tokens, lambda w, i: F.when(w.isin(spelt), i + 1)), lambda p: p.isNotNull()
     )
 
 
