@@ -5,8 +5,12 @@ source the minimum-covariance-determinant (MCD) estimate of centre and scatter i
 nested FAST-MCD scheme: every group is dealt by hash into subsets of about `subset` rows, each
 subset is searched from many small starts with two concentration steps, the two solutions of lowest
 determinant over all subsets of a group (`carried`) are carried to the whole group, and three
-concentration steps (`steps`) over all its rows follow, without a test that they have settled. A document is rejected when it fails a base rule or when its
-squared Mahalanobis distance exceeds the limit.
+concentration steps (`steps`) over all its rows follow, without a test that they have settled. The
+scatter of the half of the rows nearest to the centre is too narrow; it is widened by the factor that makes
+it right for normal rows, and the estimate is taken anew over all rows within the 0.975 quantile of their
+distances (the reweighting step of FAST-MCD). A document is rejected when it fails a base rule or when its
+squared Mahalanobis distance exceeds the quantile of the chi-square distribution that leaves `tail`, one
+normal row in a million, beyond it (40.5 for seven statistics).
 
 How it scales: texts are read once, the counts (a row of numbers) are kept in the shared folder,
 and all later passes read those. A concentration step is two partial aggregates: a histogram of
@@ -27,6 +31,7 @@ row has its verdict. An empty table gives no rows. Extra columns are not read by
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 from collections.abc import Iterator
@@ -271,10 +276,11 @@ def subsets(rows: DataFrame, subset: int) -> DataFrame:
 
 def estimates(
     rows: DataFrame, subset: int = 1000, starts: int = 20, carried: int = 2, steps: int = 3, prior_rows: float = 30.0,
+    prior: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
     """MCD estimate (g, mean, cov) of every group `g` over its vectors `x`; `h` is a hash that deals
     and orders the rows."""
-    prior = _prior(rows)
+    prior = prior or _prior(rows)
     found = subsets(rows, subset).groupBy("g", "part").applyInPandas(
         _search(prior, prior_rows, starts, carried, float(subset)), _SOLUTION
     )
@@ -284,33 +290,107 @@ def estimates(
     return _lowest(solutions, 1).select("g", "s", "mean", "cov", "det")
 
 
+def chi_square(x: float, k: int) -> float:
+    """Share of the chi-square distribution of k degrees of freedom below x, by the power series."""
+    if x <= 0.0:
+        return 0.0
+    term = total = 1.0 / math.gamma(k / 2 + 1)
+    n = 0
+    while term > total * 1e-17:
+        n += 1
+        term *= x / 2 / (k / 2 + n)
+        total += term
+    return min(1.0, total * math.exp(k / 2 * math.log(x / 2) - x / 2))
+
+
+def quantile(share: float, k: int = DIMENSIONS) -> float:
+    """The value below which this share of the chi-square distribution lies, by bisection."""
+    low, high = 0.0, 1.0
+    while chi_square(high, k) < share:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, k) < share else (low, middle)
+    return high
+
+
+def consistency(share: float, k: int = DIMENSIONS) -> float:
+    """By how much the scatter of the nearest `share` of normal rows is too narrow."""
+    return 1.0 if share >= 1.0 else share / chi_square(quantile(share, k), k + 2)
+
+
+#: Rows within this quantile of the distances take part in the reweighted estimate.
+_INNER = 0.975
+
+
+def reweighted(rows: DataFrame, found: DataFrame, prior, weight: float) -> DataFrame:
+    """(g, mean, cov): the estimates `found`, made consistent and taken anew over the rows near them.
+    One partial aggregate over the rows; one row per group moves."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("all"))
+
+    def widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            half = [consistency(min(1.0, (n + DIMENSIONS + 1) // 2 / n)) for n in f["all"]]
+            yield f.assign(cov=[np.asarray(c) * h for c, h in zip(f["cov"], half, strict=True)]).drop(columns="all")
+
+    solutions = found.join(sizes, "g").select("g", "s", "mean", "cov", "det", "all").mapInPandas(widened, _SOLUTION)
+    near = rows.join(_inverted(solutions).select("g", "mean", "inv"), "g").filter(_mahalanobis() <= quantile(_INNER))
+    x = [F.col("x")[i] for i in range(DIMENSIONS)]
+    products = [x[i] * x[j] for i, j in zip(*np.triu_indices(DIMENSIONS), strict=True)]
+    sums = near.groupBy("g").agg(
+        F.count("*").alias("n"), F.array(*map(F.sum, x)).alias("first"), F.array(*map(F.sum, products)).alias("second")
+    )
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wider = consistency(_INNER)
+        for f in frames:
+            out = []
+            for g, n, first, second in f.itertuples(index=False):
+                mean = np.asarray(first) / n
+                product = np.zeros((DIMENSIONS, DIMENSIONS))
+                product[np.triu_indices(DIMENSIONS)] = second
+                product.T[np.triu_indices(DIMENSIONS)] = second
+                centre, spread = _settled(mean, wider * (product / n - mean[:, None] * mean), n, prior, weight)
+                out.append((g, 1, centre, spread.ravel(), np.linalg.slogdet(spread)[1]))
+            yield pd.DataFrame(out, columns=["g", "s", "mean", "cov", "det"])
+
+    again = sums.mapInPandas(settle, _SOLUTION)
+    # a group without a row near its estimate keeps that
+    lost = solutions.join(again.select("g"), "g", "left_anti")
+    return written(again.union(lost.select(*again.columns)), "mcd-reweighted")
+
+
 def verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    source_col: str = "source", limit: float = 40.0, **fitting,
+    source_col: str = "source", tail: float = 1e-6, prior_rows: float = 30.0, **fitting,
 ) -> DataFrame:
-    """(id, counts, base_failed, distance, kept) of every row. `limit` is on the squared
-    Mahalanobis distance; rows that fail the base rules do not take part in the estimates."""
+    """(id, counts, base_failed, distance, kept) of every row. `tail` is the share of normal rows whose
+    squared Mahalanobis distance is too large; rows that fail the base rules do not take part in the
+    estimates."""
     found = written(counts(docs, text_col, tuple(dict.fromkeys((id_col, lang_col, source_col)))), "quality-counts")
     found = found.select("*", base_failed().alias("base_failed"))
     group = F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))).alias("g")
     vectors = found.select("*", group, vector().alias("x"))
     once = vectors.filter("NOT base_failed").select("g", *COUNTS, *EXTRA).distinct()
     fitted = written(once.select("g", vector().alias("x"), F.xxhash64(*COUNTS, *EXTRA).alias("h")), "quality-distinct")
-    best = _inverted(estimates(fitted, **fitting)).select("g", "mean", "inv")
+    prior = _prior(fitted)
+    raw = estimates(fitted, prior_rows=prior_rows, prior=prior, **fitting)
+    best = _inverted(reweighted(fitted, raw, prior, prior_rows)).select("g", "mean", "inv")
     joined = vectors.join(best, "g", "left").withColumn("distance", _mahalanobis())
     return joined.select(
         id_col, *COUNTS, "base_failed", "distance",
-        (~F.col("base_failed") & (F.col("distance") <= limit)).alias("kept"),
+        (~F.col("base_failed") & (F.col("distance") <= quantile(1.0 - tail))).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, whole, whose verdict is to keep. The verdict goes with a hash of the row's
-    own text, language and source, so repeated and null ids do no harm."""
+    """The rows of `docs`, whole, whose verdict is to keep. The verdict goes with 128 bits of hashes of the
+    row's own text, language and source, so repeated and null ids do no harm."""
     name = "_key"
     while name in docs.columns:
         name += "_"
-    keyed = docs.select("*", F.xxhash64(text_col, "lang", "source").alias(name))
+    halves = [F.xxhash64(F.lit(seed), text_col, "lang", "source").cast("string") for seed in (1, 2)]
+    keyed = docs.select("*", F.concat_ws(":", *halves).alias(name))
     found = verdicts(keyed.select(name, text_col, "lang", "source"), name, text_col, **options)
     good = found.filter("kept").select(name).distinct()
     return keyed.join(good, name, "left_semi").select(*docs.columns)
