@@ -333,7 +333,9 @@ def reweighted(rows: DataFrame, found: DataFrame, prior, weight: float) -> DataF
             half = [consistency(min(1.0, (n + DIMENSIONS + 1) // 2 / n)) for n in f["all"]]
             yield f.assign(cov=[np.asarray(c) * h for c, h in zip(f["cov"], half, strict=True)]).drop(columns="all")
 
-    solutions = found.join(sizes, "g").select("g", "s", "mean", "cov", "det", "all").mapInPandas(widened, _SOLUTION)
+    wide = found.join(sizes, "g").select("g", "s", "mean", "cov", "det", "all").mapInPandas(widened, _SOLUTION)
+    # a table, whose size Spark knows: of a plan it would deal the rows out by group
+    solutions = written(wide, "mcd-widened")
     near = rows.join(_inverted(solutions).select("g", "mean", "inv"), "g").filter(_mahalanobis() <= quantile(_INNER))
     x = [F.col("x")[i] for i in range(DIMENSIONS)]
     products = [x[i] * x[j] for i, j in zip(*np.triu_indices(DIMENSIONS), strict=True)]
