@@ -161,6 +161,27 @@ def test_a_piece_of_many_texts_is_no_key_of_its_own(spark):
     assert s.fuzzy_pairs(df.toDF("text"), 0.5, hot=100, block=50).count() == s.fuzzy_pairs(df.toDF("text"), 0.5).count()
 
 
+def test_signatures_rule_pairs_out_before_their_sets_are_compared(spark):
+    """A signature never differs in more bits than the sets have pieces of one side only, and the pairs that a hot
+    word brings together are told apart by it; cells of a key deal out what a task pairs."""
+    rnd = random.Random(5)
+    letters = "bcdfghjklmnpqrstvwxz"
+    texts = sorted({f"pancake {''.join(rnd.choices(letters, k=rnd.randint(3, 30)))}" for _ in range(300)} | {"é", "ünï 9"})
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    rows = s._ordered_pieces(df, s._frequency(df)).collect()
+    assert {r.t: len(set(r.g)) for r in rows} == {t: len(set(words.trigram_set(t))) for t in texts}
+    told = 0
+    for a, b in itertools.combinations(rows, 2):
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a.bits, b.bits, strict=True))
+        apart = len(set(a.g) ^ set(b.g))
+        assert bits <= apart
+        shared = len(set(a.g) & set(b.g))
+        told += bits > (len(a.g) + len(b.g)) * 0.3 / 1.7 or shared >= 0.7 * (len(a.g) + len(b.g) - shared)
+    assert told > 0.95 * len(rows) * (len(rows) - 1) / 2
+    found = s.fuzzy_pairs(df.toDF("text"), 0.3, hot=10, block=20)
+    assert found.count() == sum(_similarity(a, b) >= 0.3 for a, b in itertools.combinations(texts, 2))
+
+
 @pytest.mark.parametrize("term", ["baking fish", "bak", "hot", "o"])
 def test_fuzzy_search_equals_brute_force(spark, term):
     texts = _texts(60, seed=5)
