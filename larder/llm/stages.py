@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing as packer, pii, quality, similar
+from larder.llm import mixing, packing as packer, pii, quality, simhash, similar
 
 
 def _fresh(df: DataFrame, name: str) -> str:
@@ -43,13 +43,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id, null ids first, and of
-    equal ids that with the smallest hash. A group is what pairs connect whose shingles of five
-    words have a similarity of 0.8 or more."""
+    equal ids that with the smallest hash. A group is what pairs connect whose SimHash fingerprints
+    differ in at most four bits, met by their Golay keys, or whose shingles of five words have a
+    similarity of 0.8 or more; the second takes the near copies that the fingerprints are too far apart for."""
     key = _fresh(docs, "row_key")
     # hexadecimal digits that sort as the ids do
     by_id = F.coalesce(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("-"))
     keyed = docs.withColumn(key, F.concat(by_id, F.lit(":"), _row_hash(docs)))
-    groups = similar.similar_groups(keyed.select(key, "text"), key)
+    texts = keyed.select(key, "text")
+    groups = similar.similar_groups(texts, key, linked=simhash.near_groups(texts, key))
     staying = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
     return keyed.dropDuplicates([key]).join(staying, key, "left_semi").select(*docs.columns)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import similar, stages
+from larder.llm import simhash, similar, stages
 
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
@@ -97,3 +97,35 @@ def test_empty_and_repeated_rows(spark):
     got = similar.similar_groups(docs.withColumn("sid", F.lit(1)))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, 4), (4, 4), (4, 4), (2, 2), (2, 2)], key=str)
     assert similar.similar_groups(docs.limit(0)).collect() == []
+
+
+def test_stage_links_by_fingerprints_too(spark):
+    """Copies with a word changed every 40 share too few shingles of five words for 0.8 but, of long texts, often
+    have fingerprints within four bits; the groups of the stage are those of both, and of chains through both."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(300)}" for _ in range(900)]
+        far = list(words)
+        for at in range(0, 900, 36):
+            far[at] = "x"
+        texts += [" ".join(words), " ".join(far), edited(rng, far, 3)]
+    fps = [simhash.fingerprint(t) for t in texts]
+    root = brute(texts)
+    apart = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4 and root[i] != root[j]]
+    assert apart  # what the shingles alone would leave
+    for i, j in apart:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in stages.simhash_near_dedup(spark, docs, "").collect()}
+    assert kept == set(root)
+
+
+def test_blocks_of_long_texts_are_counted_by_ranges(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint64).astype("<u4"))
+    sets = [base, base[: int(0.9 * len(base))], base[: int(0.5 * len(base))], np.unique(rng.integers(0, 2**32, 700, dtype=np.uint64).astype("<u4"))]
+    monkeypatch.setattr(similar, "_SHARE", 1000)
+    a, b = similar._linked(np.arange(4), sets, 0.8)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(0, 1)}
