@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed, text, words
 from larder.operators.nutrition import portion_list, portion_measure
-from larder.operators.shaping import first_per, top_per
+from larder.operators.shaping import dealt, first_per, top_per
 
 
 def _tightest() -> list[Column]:
@@ -102,10 +102,11 @@ def pick(found: DataFrame, ties: list[Column] | None = None) -> DataFrame:
     return first_per(scored, ["term"], order)
 
 
-def best_foods(terms: DataFrame, foods: DataFrame) -> DataFrame:
+def best_foods(terms: DataFrame, foods: DataFrame, per_task: int = 100_000) -> DataFrame:
     """The best food of every term among all that match it; none is left out before it is scored.
-    The ranking is cut to one food per term in every task before the shuffle."""
-    return pick(matches(terms, foods), _tightest()).drop("food_words")
+    The ranking is cut to one food per term in every task before the shuffle; a task ranks what
+    `per_task` foods match."""
+    return pick(matches(terms, dealt(foods, per_task)), _tightest()).drop("food_words")
 
 
 def nutrient_record(amounts: DataFrame, key: str = "fdc_id") -> DataFrame:

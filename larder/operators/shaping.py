@@ -22,6 +22,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The rows in shares of about `rows`, however few splits the table comes in, for work that gives a
+    task many rows for each of them. A table of one share is left as it is."""
+    shares = -(-df.count() // rows)
+    if shares < 2:
+        return df
+    # by a number of their own: neither sorted first, as by turns, nor together where they are equal
+    return df.withColumn("_at", F.monotonically_increasing_id()).repartition(shares, "_at").drop("_at")
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every group.
 

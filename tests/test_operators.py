@@ -618,3 +618,17 @@ def test_count_beside_the_listing(spark):
     listed = s.search(rows, count="total").collect()
     assert len(listed) == 50 and {r.total for r in listed} == {86}
     assert "total" not in s.search(rows).columns
+
+
+def test_foods_of_one_split_are_dealt_out(spark):
+    from larder.operators.shaping import dealt
+
+    made = [(i, f"red apple {i % 7}", "Foundation", 5.0) for i in range(1000)]
+    df = spark.createDataFrame(made, "fdc_id long, description string, data_type string, energy double").coalesce(1)
+    parts = dealt(df, 100).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == 10 and max(r["count"] for r in parts) < 200
+    assert sorted(dealt(df, 100).collect()) == sorted(df.collect())
+    assert dealt(df, 1000).rdd.getNumPartitions() == 1
+    terms = spark.createDataFrame([("apple",), ("red apple 3",), ("pear",)], "term string")
+    one, many = (sorted(foods.best_foods(terms, df, n).collect()) for n in (10**6, 50))
+    assert one == many and [r["term"] for r in one] == ["apple", "red apple 3"]
