@@ -16,6 +16,9 @@ def weighted(terms: list[tuple[Column, int]]) -> Column:
     return total.cast("int")
 
 
+NUTRITION_POINTS = 5
+
+
 def quality_score(
     name: Column,
     description: Column,
@@ -34,12 +37,12 @@ def quality_score(
             (F.size(ingredients) > 0, 25),
             (F.size(instructions) > 0, 25),
             (truthy(cook_time) | truthy(prep_time), 5),
-            (has_nutrition, 5),
+            (has_nutrition, NUTRITION_POINTS),
         ]
     )
 
 
-def recipe_score() -> Column:
+def recipe_score(has_nutrition: Column | None = None) -> Column:
     """The score over the standard recipe columns."""
     return quality_score(
         *[
@@ -49,5 +52,5 @@ def recipe_score() -> Column:
                 "cook_time", "prep_time",
             )
         ],
-        F.col("nutrition").isNotNull(),
+        F.col("nutrition").isNotNull() if has_nutrition is None else has_nutrition,
     )

@@ -74,9 +74,9 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """The rows of `df`, computed once, kept in a table of the shared folder and read from there:
     a lost executor costs a read, and branches that follow do not compute them again."""
     path = run_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -172,7 +172,10 @@ class Store:
         """Rows written to a new folder; the buckets found in it."""
         folder = uuid.uuid4().hex
         keyed = rows.withColumn(_BUCKET, table.bucket(rows))
-        keyed.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{name}/{folder}")
+        # buckets larger than Spark's advisory size are cut, so that no task sorts a whole one
+        keyed.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(
+            f"{self.root}/{name}/{folder}", compression="zstd"
+        )
         return {
             int(n.removeprefix(f"{_BUCKET}=")): folder
             for n in self._names(f"{name}/{folder}") if n.startswith(f"{_BUCKET}=")
@@ -195,13 +198,29 @@ class Store:
         """`table` with these rows instead of its own."""
         return replace(table, folders={b: (f,) for b, f in self._written(name, table, rows).items()})
 
-    def upserted(self, name: str, table: Table, rows: DataFrame, **options) -> Table:
-        """`table` after an upsert of rows by its key (options as of `tables.upsert`). `rows` are read
+    def upserted(
+        self, name: str, table: Table, rows: DataFrame, *, setting: tuple[DataFrame, list[str]] | None = None, **options
+    ) -> Table:
+        """`table` after an upsert of rows by its key (options as of `tables.upsert`). Then the rows of
+        `setting` set its columns in the rows that have their keys; all is written once. Rows are read
         more than once and must give the same rows each time."""
-        hit = self.touched(table, rows)
+        key, hit = table.key, set(self.touched(table, rows))
+        if setting:
+            hit |= set(self.touched(table, setting[0]))
         old = self.read(name, Version(tables={name: table}), hit)
-        new = self._written(name, table, upsert(old, rows, table.key, **options))
-        folders = {b: f for b, f in table.folders.items() if b not in set(hit)}
+        if not setting:
+            state = upsert(old, rows, key, **options)
+        else:
+            # joined to either side before these meet, so that whole rows are shuffled by the key once
+            late = setting[0].select(key, F.struct(*setting[1]).alias("_late"))
+            old = old.join(late.join(rows.select(key), key, "left_anti"), key, "left")
+            state = upsert(old, rows.join(late, key, "left"), key, **options)
+            state = state.select(*[
+                F.when(F.col("_late").isNotNull(), F.col(f"_late.{c}")).otherwise(F.col(c)).alias(c)
+                if c in setting[1] else F.col(c) for c in state.columns if c != "_late"
+            ])
+        new = self._written(name, table, state)
+        folders = {b: f for b, f in table.folders.items() if b not in hit}
         return replace(table, folders=folders | {b: (f,) for b, f in new.items()})
 
     def upsert(

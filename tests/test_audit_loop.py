@@ -83,3 +83,32 @@ def test_stream_and_empty_batches(spark, tmp_path):
     assert _state(store) == ({"0": ("quarantined", True), "1": ("quarantined", True)}, [("u0", 1), ("u1", 1)])
     assert audit.audit_round(store, 99, now(), sides, _recipes(spark, []))
     assert _state(store)[1] == [("u0", 1), ("u1", 1)]
+
+
+def test_a_round_writes_whole_rows_once(spark, tmp_path, monkeypatch):
+    """What arrived and the verdicts go into the buckets together; between them only short columns are kept."""
+    store = Store(spark, str(tmp_path))
+    store.upsert("recipes", _recipes(spark, [("1", "u1", "pending", None), ("2", "u2", "verified", "2024-01-01")]), "id", buckets=4)
+    arriving = _recipes(spark, [("2", "u2", "pending", "2024-01-01"), ("3", "u3", "verified", "2024-01-01"), ("4", "u4", "pending", None)])
+    arriving = arriving.withColumn("description", F.repeat(F.lit("soup "), 100))
+    whole, kept, plain = [], {}, Store._written
+    monkeypatch.setattr(Store, "_written", lambda self, name, *rest: whole.append(name) or plain(self, name, *rest))
+    keep = audit.written
+    monkeypatch.setattr(audit, "written", lambda df, label, *rest: kept.setdefault(label, keep(df, label, *rest)))
+    assert audit.audit_round(store, 0, now(), _sides(spark), arriving, 4)
+    assert whole.count("recipes") == 1
+    assert not {"description", "recipe_instructions"} & {*kept["audit-todo"].columns, *kept["audit-verdicts"].columns}
+    rows = {r["id"]: r for r in store.read("recipes").collect()}
+    assert {i: r.qa_status for i, r in rows.items()} == {"1": "quarantined", "2": "quarantined", "3": "verified", "4": "quarantined"}
+    assert rows["4"].description == "soup " * 100 and rows["4"].quality_score == 20 and rows["1"].quality_score == 10
+
+
+def test_brief_rows_measure_as_whole_ones(spark):
+    from larder.operators import audit as au
+
+    made = _recipes(spark, [(str(i), "u", "pending", None) for i in range(5)]).withColumns({
+        "description": F.expr("CASE id WHEN '0' THEN NULL WHEN '1' THEN '' WHEN '2' THEN '0123456789' ELSE '01234567890' END"),
+        "recipe_instructions": F.expr("CASE id WHEN '0' THEN NULL WHEN '1' THEN array() WHEN '2' THEN array(NULL) ELSE array('a', 'b') END").cast(RECIPES["recipe_instructions"].dataType),
+    })
+    facts = ["id", "quality_score", "no_steps"]
+    assert sorted(au.measured(au.brief(made)).select(facts).collect()) == sorted(au.measured(made).select(facts).collect())
