@@ -182,6 +182,32 @@ def test_signatures_rule_pairs_out_before_their_sets_are_compared(spark):
     assert found.count() == sum(_similarity(a, b) >= 0.3 for a, b in itertools.combinations(texts, 2))
 
 
+def test_texts_that_differ_in_rare_pieces_are_compared_by_classes(spark, monkeypatch):
+    """Addresses of a few forms and many numbers: the keys of what their frequent pieces decide grow with the
+    forms, a form of several chunks pairs all its texts, and numbers that bring others near are found too."""
+    monkeypatch.setattr(s, "_CHUNK", 16)
+    rnd = random.Random(3)
+    forms = ["https://www.kitchen.example.org/en/recipes/{}?utm_source=feed", "https://m.kitchen.example.org/de/recipes/{}.html"]
+    texts = sorted({rnd.choice(forms).format(rnd.randint(10**6, 10**7)) for _ in range(160)} | {
+        f"https://m.kitchen.example.com/{w}/recipes/{i}" for w in ("en", "de") for i in range(5000, 5020)
+    })
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    sets = s._ordered_pieces(df, s._frequency(df)).withColumn("r", F.expr("size(filter(f, x -> x <= 30))")).cache()
+    classes, chunks = s._classes(sets, 30)
+    assert classes.count() < len(texts) / 8
+    assert chunks.count() > classes.count()
+    members = chunks.select("c", F.explode("members.t").alias("t")).collect()
+    assert sorted(r.t for r in members) == texts
+    sizes = dict(sets.select("t", F.expr("slice(g, r + 1, size(g))")).collect())
+    assert len({(r.c, tuple(sizes[r.t])) for r in members}) == classes.count()
+    kept = s._join_keys(classes, 0.7, 30, 74, True, True).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert kept < len(texts) / 8
+    found = s.fuzzy_pairs(df.toDF("text"), 0.7, hot=30).collect()
+    want = {(a, b): v for a, b in itertools.combinations(texts, 2) if (v := _similarity(a, b)) >= 0.7}
+    assert len(found) == len(want) > 4_000
+    assert all(abs(want[r.left_text, r.right_text] - r.similarity) < 1e-12 for r in found)
+
+
 @pytest.mark.parametrize("term", ["baking fish", "bak", "hot", "o"])
 def test_fuzzy_search_equals_brute_force(spark, term):
     texts = _texts(60, seed=5)
